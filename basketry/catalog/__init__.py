@@ -15,7 +15,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, list[str]] = {}
 
-SECTIONS = ["io", "cleaning"]
+SECTIONS = ["joining", "aggregating", "ordering", "marts"]
 
 
 def query(name: str, covers: str, sql: str | None = None):

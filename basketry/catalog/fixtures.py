@@ -10,6 +10,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.session import scratch_path
+from basketry.sources.tables import write_table
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -121,6 +124,12 @@ class Inputs:
         used = {t: self[t] for t in BASE_TABLES if "{" + t + "}" in text}
         return self.spark.sql(text, **used)
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """A mart written once and read back, as analyses find it."""
+        path = scratch_path(self.spark, name)
+        write_table(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def staged_orders(self) -> DataFrame:
         from basketry.plans.silver import staged_orders
@@ -152,6 +161,18 @@ class Inputs:
 
         return rfm(self.customer_360)
 
+    @cached_property
+    def stored_360(self) -> DataFrame:
+        return self.stored(self.customer_360, "customer-360")
+
+    @cached_property
+    def stored_rfm(self) -> DataFrame:
+        return self.stored(self.rfm, "customer-rfm")
+
+    @cached_property
+    def stored_training(self) -> DataFrame:
+        return self.stored(self.training, "retention-training")
+
     @cached_property
     def cutoffs(self) -> DataFrame:
         from basketry.plans.retention import snapshot_cutoffs

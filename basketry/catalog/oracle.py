@@ -24,7 +24,10 @@ def with_ctes(body: str) -> str:
                 needed.add(name)
                 todo.append(CTES[name])
     parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
-    return (("WITH " + ",\n".join(parts) + "\n") if parts else "") + body
+    own = body.strip().removeprefix("WITH ") if body.strip().startswith("WITH ") else None
+    if not parts:
+        return body
+    return "WITH " + ",\n".join(parts) + ("\n" + body if own is None else ",\n" + own)
 
 
 cte("o_staged", """

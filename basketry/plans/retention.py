@@ -90,7 +90,8 @@ def snapshot_cutoffs(orders: DataFrame, horizon: int = 90, history: int = 90) ->
     )
     kind = dict(orders.dtypes)[TIME]
     inside = bounds.filter("a <= b")
-    return inside.select(F.explode(month_end_list(F.col("a"), F.col("b"))).cast(kind).alias("cutoff_timestamp"))
+    ends = F.transform(month_end_list(F.col("a"), F.col("b")), lambda d: d.cast(kind))
+    return inside.select(F.explode(ends).alias("cutoff_timestamp"))
 
 
 def snapshot_design(orders: DataFrame, customers: DataFrame, horizon: int = 90, history: int = 90) -> DataFrame:
