@@ -15,7 +15,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, list[str]] = {}
 
-SECTIONS = ["joining", "aggregating", "ordering", "marts"]
+SECTIONS = ["joining", "marts", "quality", "retention"]
 
 
 def query(name: str, covers: str, sql: str | None = None):
