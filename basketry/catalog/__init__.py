@@ -15,7 +15,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, list[str]] = {}
 
-SECTIONS = ["joining", "marts", "quality", "retention"]
+SECTIONS = ["retention", "demand", "modelling", "text", "decisions"]
 
 
 def query(name: str, covers: str, sql: str | None = None):

@@ -24,10 +24,12 @@ def with_ctes(body: str) -> str:
                 needed.add(name)
                 todo.append(CTES[name])
     parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
-    own = body.strip().removeprefix("WITH ") if body.strip().startswith("WITH ") else None
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + ("\n" + body if own is None else ",\n" + own)
+    own = re.match(r"\s*WITH (RECURSIVE )?", body)
+    if own is None:
+        return "WITH " + ",\n".join(parts) + "\n" + body
+    return f"WITH {own[1] or ''}" + ",\n".join(parts) + ",\n" + body[own.end() :]
 
 
 cte("o_staged", """

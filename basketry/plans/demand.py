@@ -294,7 +294,7 @@ def smoothing_backtest(
         return F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
 
     level0 = mean(F.slice("y", 1, period))
-    slope0 = F.when("trend", (mean(F.slice("y", period + 1, period)) - level0) / period).otherwise(0.0)
+    slope0 = F.when(F.col("trend"), (mean(F.slice("y", period + 1, period)) - level0) / period).otherwise(0.0)
     season0 = F.transform(
         F.slice("y", 1, period), lambda v: F.when(F.col("seasonal"), v - level0).otherwise(F.lit(0.0))
     )

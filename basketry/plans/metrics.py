@@ -90,18 +90,15 @@ def lift_table(
     """Per capacity: targeted rows, positives caught, precision, recall, lift over the base rate."""
     by = as_list(by)
     ranked = rank_by_score(df.select(*by, id, score, label), score, id, by, "__rank", **limits)
-    ranked = with_group_total(
-        ranked, by, {"population": F.count(F.lit(1)), "total_positive": count_when(F.col(label) == 1)}
-    )
-    shares = F.array(*[F.lit(float(c)) for c in capacities])
-    cuts = F.transform(shares, lambda c: target_count(F.col("population"), c))
+    ranked = with_group_total(ranked, by, {"__n": F.count(F.lit(1))})
+    positive = F.col(label) == 1
     # all capacities are counted in one pass over the ranks
     caught = [
-        count_when((F.col("__rank") <= F.get(cuts, F.lit(i))) & (F.col(label) == 1)).alias(f"__c{i}")
-        for i in range(len(capacities))
+        count_when((F.col("__rank") <= target_count(F.col("__n"), float(c))) & positive).alias(f"__c{i}")
+        for i, c in enumerate(capacities)
     ]
     sums = _grouped(
-        ranked, by, F.first("population").alias("population"), F.first("total_positive").alias("total_positive"), *caught
+        ranked, by, F.count(F.lit(1)).alias("population"), count_when(positive).alias("total_positive"), *caught
     )
     cells = F.array(
         *[
@@ -158,18 +155,18 @@ def compare_rankings(
     ranked = with_group_total(ranked, None, {"__n": F.count(F.lit(1)), "spearman": F.corr("rank_a", "rank_b")})
     # per id the best rank on each side decides whether it is in a top set
     best = ranked.groupBy(ids[0]).agg(
-        F.min("rank_a").alias("a"), F.min("rank_b").alias("b"), F.first("__n").alias("__n"), F.first("spearman").alias("spearman")
+        F.min("rank_a").alias("a"), F.min("rank_b").alias("b"), F.max("__n").alias("__n"), F.max("spearman").alias("spearman")
     )
     counts = []
     for i, c in enumerate(capacities):
         cut = target_count(F.col("__n"), float(c))
         in_a, in_b = F.col("a") <= cut, F.col("b") <= cut
         counts += [count_when(in_a & in_b).alias(f"__o{i}"), count_when(in_a | in_b).alias(f"__u{i}")]
-    sums = best.agg(F.first("__n").alias("__n"), F.first("spearman").alias("spearman"), *counts)
+    sums = best.agg(F.max("__n").alias("__rows"), F.max("spearman").alias("spearman"), *counts)
     cells = F.array(
         *[
             F.struct(
-                F.lit(float(c)).alias("capacity"), target_count(F.col("__n"), float(c)).alias("n"),
+                F.lit(float(c)).alias("capacity"), target_count(F.col("__rows"), float(c)).alias("n"),
                 F.col(f"__o{i}").alias("overlap_count"), F.col(f"__u{i}").alias("union_count"),
             )
             for i, c in enumerate(capacities)

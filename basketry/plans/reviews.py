@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -225,20 +225,17 @@ def sentiment3(score: Column) -> Column:
     return ladder([(score <= 2, "negative"), (score == 3, "neutral")], "positive")
 
 
+def _grams(words: Column, n: int) -> Column:
+    """All runs of n neighbouring words."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
 def terms(text: Column, ngrams: tuple[int, int] = (1, 2)) -> Column:
     """Words of at least two characters and their n-grams, as one array with repeats."""
     words = F.regexp_extract_all(text, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     low, high = ngrams
-    grams = []
-    for n in range(low, high + 1):
-        if n == 1:
-            grams.append(words)
-        else:
-            starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-                F.array().cast("array<int>")
-            )
-            grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*grams)
+    return F.concat(*[words if n == 1 else _grams(words, n) for n in range(low, high + 1)])
 
 
 def term_counts(docs: DataFrame, id: str, text: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
@@ -280,7 +277,7 @@ def tfidf(
 
 
 @F.udf(VectorUDT())
-def _sparse(size: int, indices: list, weights: list) -> SparseVector:
+def _sparse(size, indices, weights):
     return Vectors.sparse(size, indices or [], weights or [])
 
 
