@@ -15,7 +15,9 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, list[str]] = {}
 
-SECTIONS = ["retention", "demand", "modelling", "text", "decisions"]
+SECTIONS = [
+    "io", "cleaning", "joining", "aggregating", "ordering", "quality", "marts", "retention", "demand", "modelling", "text", "decisions",
+]
 
 
 def query(name: str, covers: str, sql: str | None = None):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketry.catalog import query
+from basketry.catalog.oracle import near, nearly
 from basketry.functions.values import band
 from basketry.plans import customers, marts, rfm
 from basketry.sources.tables import register
@@ -99,14 +100,14 @@ def customer_reviews(x):
     return customers.customer_reviews(x["x_customers"], x["x_orders"], x["x_reviews"])
 
 
-@query("customer_360", "J14 B15", "SELECT * EXCLUDE (average_order_value), round(average_order_value, 4) AS average_order_value FROM o_360")
+@query("customer_360", "J14 B15", f"SELECT * EXCLUDE (average_order_value), {near('average_order_value')} AS average_order_value FROM o_360")
 def customer_360(x):
-    return _round(x.customer_360, 4, "total_payment_value", "average_order_value")
+    return nearly(_round(x.customer_360, 4, "total_payment_value"), "average_order_value")
 
 
-@query("rfm", "J15 H9 D16", "SELECT * EXCLUDE (average_order_value), round(average_order_value, 4) AS average_order_value FROM o_rfm")
+@query("rfm", "J15 H9 D16", f"SELECT * EXCLUDE (average_order_value), {near('average_order_value')} AS average_order_value FROM o_rfm")
 def rfm_table(x):
-    return _round(x.rfm, 4, "total_payment_value", "average_order_value", "monetary")
+    return nearly(_round(x.rfm, 4, "total_payment_value", "monetary"), "average_order_value")
 
 
 @query("rfm_summary", "J16 D8", """
@@ -223,11 +224,12 @@ def segment_summary(x):
     return _round(_round(df, 4, "total_monetary", "mean_monetary", "median_monetary"), 6, "value_pct")
 
 
-@query("repeat_comparison", "J20", """
+@query("repeat_comparison", "J20", f"""
     SELECT is_repeat_customer, count(*) AS customer_count, round(avg(total_payment_value), 4) AS mean_customer_value,
-      round(median(total_payment_value), 4) AS median_customer_value, round(median(average_order_value), 4) AS median_aov FROM o_360 GROUP BY 1""")
+      round(median(total_payment_value), 4) AS median_customer_value, {near('median(average_order_value)')} AS median_aov FROM o_360 GROUP BY 1""")
 def repeat_comparison(x):
-    return _round(customers.repeat_comparison(x.stored_360), 4, "mean_customer_value", "median_customer_value", "median_aov")
+    df = _round(customers.repeat_comparison(x.stored_360), 4, "mean_customer_value", "median_customer_value")
+    return nearly(df, "median_aov")
 
 
 @query("cohort_repeat_rate", "J21", """

@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from basketry.catalog.fixtures import ADAPTERS, duckdb_text
 
 CTES: dict[str, str] = {name: duckdb_text(name) for name in ADAPTERS}
 
 
+# Sums of money have four decimals and compare exactly there. Their quotients may
+# end on a half, so they compare at two decimals, moved off the halves.
+def near(expr: str) -> str:
+    return f"round({expr} + 0.0000031::DOUBLE, 2)"
+
+
+def nearly(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + F.lit(0.0000031), 2) for c in cols})
+
+
 def cte(name: str, text: str) -> None:
     CTES[name] = text
 

@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketry.catalog import query
+from basketry.catalog.oracle import near, nearly
 from basketry.operators.aggregates import correlated_pairs
 from basketry.plans import retention as r
 
-# Sums of money have four decimals and compare exactly there. Their quotients may
-# end on a half, so they compare at two decimals, moved off the halves.
 SUMS = ["total_spend_to_date", "spend_30d", "spend_60d", "spend_90d"]
 MEANS = ["average_review_score_to_date", "average_items_per_order", "recency_days"]
 
 
-def near(c: str) -> str:
-    return f"round({c} + 0.0000031, 2)"
-
-
-def _near(df, *cols):
-    return df.withColumns({c: F.expr(near(c).replace("0.0000031", "0.0000031D")) for c in cols})
-
-
 def _rounded(df, digits=4, cols=None):
     return df.withColumns({c: F.round(c, digits) for c in (cols or [*SUMS, *MEANS]) if c in df.columns})
 
@@ -66,7 +57,7 @@ def order_level(x):
 
 @query("training_table", "K4 K5 K6 K7 C10 C11", _training_sql())
 def training_table(x):
-    return _near(_rounded(x.training), "average_order_value")
+    return nearly(_rounded(x.training), "average_order_value")
 
 
 @query("strict_asof_reviews", "K4", """
@@ -107,7 +98,7 @@ def ratio_features(x):
     shares = [c for c in df.columns if c.endswith("_share") or c.endswith("d_velocity") and c.startswith("orders")]
     money = [c for c in df.columns if c.startswith("spend") and c.endswith("_velocity")] + ["spend_per_order_item"]
     df = df.select("customer_unique_id", "snapshot_timestamp", *shares, *money, "recent_activity_90d")
-    return _near(_rounded(df, 6, shares), *money)
+    return nearly(_rounded(df, 6, shares), *money)
 
 
 @query("reduced_features", "K9", f"""
@@ -118,7 +109,7 @@ def ratio_features(x):
 def reduced_features(x):
     df = r.reduced_features(r.ratio_features(x.stored_training), validate=True)
     df = _rounded(_rounded(df), 6, ["orders_90d_share"])
-    return _near(df, "spend_90d_velocity", "spend_per_order_item")
+    return nearly(df, "spend_90d_velocity", "spend_per_order_item")
 
 
 @query("temporal_split", "K10", """

@@ -21,6 +21,7 @@ from basketry.operators.ordering import quantile_columns, with_group_total
 from basketry.operators.topk import sort
 from basketry.plans import metrics
 from basketry.plans.retention import KEY, SNAPSHOT
+from basketry.session import cut_lineage
 
 SCORE = "repeat_purchase_probability"
 
@@ -207,7 +208,8 @@ def benchmark_models(
     tables = []
     for name, model in models.items():
         parts = [scored(model, df).select(F.lit(split).alias("split"), id, target, SCORE) for split, df in splits.items()]
-        rows = reduce(DataFrame.unionByName, parts)
+        # every metric reads the scores, so they are computed once
+        rows = cut_lineage(reduce(DataFrame.unionByName, parts))
         base = rows.groupBy("split").agg(
             F.count(F.lit(1)).alias("rows"), F.avg(F.col(target).cast("double")).alias("positive_rate")
         )

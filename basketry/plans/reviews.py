@@ -226,16 +226,20 @@ def sentiment3(score: Column) -> Column:
 
 
 def _grams(words: Column, n: int) -> Column:
-    """All runs of n neighbouring words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    """All runs of n neighbouring words: the runs of n - 1, each with the word after it."""
+    if n == 1:
+        return words
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    pairs = F.zip_with(
+        F.slice(_grams(words, n - 1), 1, count), F.slice(words, n, count), lambda run, word: F.concat_ws(" ", run, word)
+    )
+    return F.when(F.size(words) >= n, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def terms(text: Column, ngrams: tuple[int, int] = (1, 2)) -> Column:
     """Words of at least two characters and their n-grams, as one array with repeats."""
     words = F.regexp_extract_all(text, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    low, high = ngrams
-    return F.concat(*[words if n == 1 else _grams(words, n) for n in range(low, high + 1)])
+    return F.concat(*[_grams(words, n) for n in range(ngrams[0], ngrams[1] + 1)])
 
 
 def term_counts(docs: DataFrame, id: str, text: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:

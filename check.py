@@ -21,12 +21,27 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def family(values: pd.Series) -> str:
-    if pd.api.types.is_bool_dtype(values):
-        return "bool"
-    if pd.api.types.is_numeric_dtype(values):
-        return "number"
-    return "other"
+KINDS = {
+    "int": ("tinyint", "smallint", "int", "integer", "bigint", "hugeint", "ubigint"),
+    "real": ("float", "double", "real"),
+    "text": ("string", "varchar"),
+    "stamp": ("timestamp", "timestamp_ntz"),
+    "date": ("date",),
+    "flag": ("boolean",),
+}
+
+
+def kind(name: str) -> str:
+    """The same word for matching types of both engines."""
+    return next((k for k, names in KINDS.items() if name.lower() in names), name.lower())
+
+
+def kinds_differ(frame, con, sql: str) -> str | None:
+    """Columns whose type differs in kind, such as an integer against a double."""
+    spark_side = {c: kind(t) for c, t in frame.dtypes}
+    duck_side = {r[0]: kind(r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    odd = {c: (k, duck_side.get(c)) for c, k in spark_side.items() if duck_side.get(c) not in (k, '"null"')}
+    return f"types {odd}" if odd else None
 
 
 def canonical(pdf: pd.DataFrame, digits: int = 9) -> pd.DataFrame:
@@ -64,12 +79,13 @@ def compare(spark_rows: pd.DataFrame, duck_rows: pd.DataFrame) -> str | None:
 def run(spark, con, folder: str, name: str) -> tuple[str | None, int, float]:
     """(problem, rows, seconds of the Spark side)."""
     began = time.time()
-    rows = catalog.QUERIES[name](spark, folder).toPandas()
+    frame = catalog.QUERIES[name](spark, folder)
+    rows = frame.toPandas()
     seconds = time.time() - began
     if name not in catalog.ORACLES:
         return (None if len(rows) else "no rows"), len(rows), seconds
     expected = con.execute(catalog.ORACLES[name]).df()
-    return compare(rows, expected), len(rows), seconds
+    return compare(rows, expected) or kinds_differ(frame, con, catalog.ORACLES[name]), len(rows), seconds
 
 
 def main(argv: list[str]) -> int:
