@@ -221,17 +221,20 @@ def point_in_time(
     def days(n: int) -> Column:
         return F.make_dt_interval(F.lit(n))
 
-    first = first_cutoff_index(time)
-    near = F.filter(
-        F.sequence(F.lit(0), F.size("cutoffs") - 1),
-        lambda i: (
-            ((F.get("cutoffs", i) < time) & (time <= F.get("cutoffs", i) + days(label_days)))
-            | ((F.get("cutoffs", i) >= time) & (time > F.get("cutoffs", i) - days(longest)))
-            | (i == F.col("first_at"))
-        ),
+    def before(moment: Column) -> Column:
+        """How many cutoffs lie before a moment."""
+        return F.size(F.filter("cutoffs", lambda c: c < moment))
+
+    # cutoffs within reach of the label or of a trailing window, and the first one that sees the order
+    dated = dated.filter(F.size("cutoffs") > 0).withColumns(
+        {"first_at": first_cutoff_index(time), "low": before(time - days(label_days)), "high": before(time + days(longest))}
+    )
+    none = F.array().cast("array<int>")
+    near = F.concat(
+        F.when(F.col("low") < F.col("high"), F.sequence("low", F.col("high") - 1)).otherwise(none),
+        F.when((F.col("first_at") >= F.col("high")) & (F.col("first_at") < F.size("cutoffs")), F.array("first_at")).otherwise(none),
     )
-    spread = dated.filter(F.size("cutoffs") > 0).withColumn("first_at", first).withColumn("at", F.explode(near))
-    spread = spread.withColumn("cutoff", F.get("cutoffs", F.col("at")))
+    spread = dated.withColumn("at", F.explode(near)).withColumn("cutoff", F.get("cutoffs", F.col("at")))
     enters, seen = F.col("at") == F.col("first_at"), F.col("cutoff") >= time
 
     def on_entry(value: Column) -> Column:
@@ -263,7 +266,6 @@ def point_in_time(
 
     in_orders = {**history, **({} if strict_asof else review_history), **local}
     facts = spread.select(KEY, "at", F.when(enters, time).alias("bought"), *[v.alias(n) for n, v in in_orders.items()])
-    facts = facts.groupBy(KEY, "at").agg(F.max("bought").alias("bought"), *totals(in_orders))
 
     # where is each product, category and seller of a customer first seen?
     things = F.array(
@@ -272,7 +274,7 @@ def point_in_time(
             for kind, col in (("products", "product_id"), ("categories", "product_category_name"), ("sellers", "seller_id"))
         ]
     )
-    lines = items.select("order_id", "product_id", "product_category_name", "seller_id").distinct()
+    lines = items.select("order_id", "product_id", "product_category_name", "seller_id")
     firsts = (
         lines.join(owned.select("order_id", KEY, TIME), "order_id")
         .select(KEY, TIME, F.inline(things))
@@ -282,9 +284,10 @@ def point_in_time(
     )
     firsts = attach_cutoffs(firsts, cutoffs).withColumn("at", first_cutoff_index(time))
     kinds = ["products", "categories", "sellers"]
-    firsts = firsts.filter(F.col("at") < F.size("cutoffs")).groupBy(KEY, "at").agg(
-        *[F.count_if(F.col("kind") == k).alias(k) for k in kinds]
+    firsts = firsts.filter(F.col("at") < F.size("cutoffs")).select(
+        KEY, "at", *[(F.col("kind") == k).cast("int").alias(k) for k in kinds]
     )
+    # one grouping takes all contributions: combined in each task, then shuffled by customer once
     steps = facts.unionByName(firsts, allowMissingColumns=True)
     if strict_asof:
         if reviews is None:
