@@ -59,17 +59,19 @@ def customer_payments(customers: DataFrame, orders: DataFrame, payments: DataFra
 def customer_products(customers: DataFrame, orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Per customer: items, distinct products, categories and sellers.
 
-    Line items are first combined per (order, product, seller).
+    Lines are reduced to (customer, product) and (customer, seller) pairs, so no
+    row is repeated per distinct count; categories are looked up for the pairs only.
     """
-    lines = items.groupBy("order_id", "product_id", "seller_id").agg(F.count("product_id").alias("items"))
     owned = order_owners(customers, orders).select("order_id", KEY)
-    categories = products.select("product_id", "product_category_name")
-    return lines.join(owned, "order_id").join(categories, "product_id", "left").groupBy(KEY).agg(
+    lines = items.select("order_id", "product_id", "seller_id").join(owned, "order_id")
+    bought = lines.groupBy(KEY, "product_id").agg(F.count("product_id").alias("items"))
+    known = bought.join(products.select("product_id", "product_category_name"), "product_id", "left").groupBy(KEY).agg(
         F.sum("items").alias("total_items"),
-        F.countDistinct("product_id").alias("unique_products"),
+        F.count("product_id").alias("unique_products"),
         F.countDistinct("product_category_name").alias("unique_categories"),
-        F.countDistinct("seller_id").alias("unique_sellers"),
     )
+    sellers = lines.select(KEY, "seller_id").distinct().groupBy(KEY).agg(F.count("seller_id").alias("unique_sellers"))
+    return known.join(sellers, KEY)
 
 
 def customer_reviews(customers: DataFrame, orders: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -66,20 +66,24 @@ def order_performance(enriched: DataFrame) -> DataFrame:
 def product_kpis(
     items: DataFrame, orders: DataFrame, customers: DataFrame, products: DataFrame, translation: DataFrame
 ) -> DataFrame:
-    """Per product: items, distinct orders, customers and sellers, with attributes and translated category."""
-    order_customers = orders.select("order_id", "customer_id").join(
+    """Per product: items, distinct orders, customers and sellers, with attributes and translated category.
+
+    Items are reduced to (product, order) and (product, seller) pairs first; a pair
+    is one distinct order or seller, and only customers are left to be counted distinctly.
+    """
+    owners = orders.select("order_id", "customer_id").join(
         customers.select("customer_id", "customer_unique_id"), "customer_id", "left"
     )
-    metrics = (
-        items.join(order_customers, "order_id", "left")
-        .groupBy("product_id")
-        .agg(
-            F.count(F.lit(1)).alias("order_item_count"),
-            F.countDistinct("order_id").alias("unique_orders"),
-            F.countDistinct("customer_unique_id").alias("unique_customers"),
-            F.countDistinct("seller_id").alias("unique_sellers"),
-        )
+    sold = items.groupBy("product_id", "order_id").agg(F.count(F.lit(1)).alias("n"))
+    reach = sold.join(owners, "order_id", "left").groupBy("product_id").agg(
+        F.sum("n").alias("order_item_count"),
+        F.count("order_id").alias("unique_orders"),
+        F.countDistinct("customer_unique_id").alias("unique_customers"),
+    )
+    sellers = items.select("product_id", "seller_id").distinct().groupBy("product_id").agg(
+        F.count("seller_id").alias("unique_sellers")
     )
+    metrics = reach.join(sellers, "product_id")
     attributes = products.join(translation, "product_category_name", "left")
     return metrics.join(attributes, "product_id", "left").select(
         "product_id", "product_category_name", "product_category_name_english", "product_name_lenght",

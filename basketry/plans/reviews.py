@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.dates import month_label
@@ -244,8 +244,13 @@ def terms(text: Column, ngrams: tuple[int, int] = (1, 2)) -> Column:
 
 
 def term_counts(docs: DataFrame, id: str, text: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
-    """(document, term, tf)."""
-    spread = docs.select(id, F.explode(terms(F.col(text), ngrams)).alias("term"))
+    """(document, term, tf).
+
+    Texts are hashed by document first: that moves each text once, and everything
+    done per document afterwards, this count included, needs no shuffle of its many terms.
+    """
+    placed = docs.select(id, text).repartition(F.col(id))
+    spread = placed.select(id, F.explode(terms(F.col(text), ngrams)).alias("term"))
     return spread.groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -263,6 +268,11 @@ def vocabulary(counts: DataFrame, documents: int, min_df: int = 2, max_df: float
     return kept.select("term", "df", smooth.alias("idf"))
 
 
+def _bounded(vocab: DataFrame, size: int | None) -> DataFrame:
+    """Broadcast a vocabulary of known, moderate size; leave any other join to Spark."""
+    return F.broadcast(vocab) if size is not None and size <= 200_000 else vocab
+
+
 def tfidf(
     docs: DataFrame, id: str, text: str, min_df: int = 2, max_df: float = 0.95, ngrams: tuple[int, int] = (1, 2),
     max_terms: int | None = 100_000, vocab: DataFrame | None = None,
@@ -275,10 +285,10 @@ def tfidf(
     counts = term_counts(docs, id, text, ngrams)
     if vocab is None:
         vocab = vocabulary(counts, docs.count(), min_df, max_df, max_terms)
-    side = F.broadcast(vocab) if max_terms is not None and max_terms <= 200_000 else vocab
-    raw = counts.join(side, "term").withColumn("w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    norms = raw.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, id).select(id, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = counts.join(_bounded(vocab, max_terms), "term").withColumn("w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+    # the window sees the terms of one document
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id)))
+    return raw.select(id, "term", (F.col("w") / norm).alias("weight"))
 
 
 @F.udf(VectorUDT())
@@ -288,7 +298,7 @@ def _sparse(size, indices, weights):
 
 def term_vectors(docs: DataFrame, id: str, text: str, vocab: DataFrame, size: int, name: str = "features") -> DataFrame:
     """One sparse vector per document; a document without known terms gets the empty vector."""
-    weights = tfidf(docs, id, text, vocab=vocab, max_terms=size).join(F.broadcast(vocab.select("term", "slot")), "term")
+    weights = tfidf(docs, id, text, vocab=vocab, max_terms=size).join(_bounded(vocab.select("term", "slot"), size), "term")
     packed = weights.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("e"))
     whole = docs.join(packed, id, "left")
     return whole.withColumn(name, _sparse(F.lit(size), F.col("e.slot"), F.col("e.weight"))).drop("e")
@@ -316,8 +326,6 @@ def fit_text_classifier(
 
     The vocabulary is stored once, so that training and prediction number its terms alike.
     """
-    from pyspark.sql import Window
-
     from basketry.session import cut_lineage
 
     rows = train.count()
