@@ -1,4 +1,7 @@
-"""Run the registered queries against their DuckDB texts: `python check.py [folder] [name ...]`."""
+"""Run the registered queries against their DuckDB texts: `python check.py [folder] [name ...]`.
+
+`--compared` leaves out the queries that have no text.
+"""
 
 from __future__ import annotations
 
@@ -89,9 +92,13 @@ def run(spark, con, folder: str, name: str) -> tuple[str | None, int, float]:
 
 
 def main(argv: list[str]) -> int:
+    compared = "--compared" in argv
+    argv = [a for a in argv if a != "--compared"]
     folder = argv[0] if argv else "/root/testdata/sf0.001"
     catalog.load()
     names = [n for n in catalog.QUERIES if not argv[1:] or any(n.startswith(w) for w in argv[1:])]
+    if compared:
+        names = [n for n in names if n in catalog.ORACLES]
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(folder), 0
