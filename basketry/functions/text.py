@@ -38,8 +38,8 @@ def upper_text(col: Column) -> Column:
 
 
 def to_ts(col: Column) -> Column:
-    """Timestamp, null where the text is not one."""
-    return F.try_to_timestamp(col)
+    """Timestamp without zone, null where the text is not one; the session time zone plays no part."""
+    return col.try_cast("timestamp_ntz")
 
 
 def to_num(col: Column) -> Column:
