@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
-
 
 def build_session(app: str = "basketry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for; `conf` wins over them."""
@@ -34,25 +29,28 @@ def build_session(app: str = "basketry", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in `spark.checkpoint.dir`. Only a local session without
-    that setting gets a temporary folder of its own, removed at exit.
+    The cluster names it in `spark.checkpoint.dir`. Where that is unset, as in tests, the session's
+    warehouse is used: it lies in the file system that the session itself writes tables to.
     """
-    global _local_folder
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named or context.getCheckpointDir():
-        return named or context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="basketry-")
-        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
-    return _local_folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    _at_exit(spark, files, place)
+    return path
+
+
+def _at_exit(spark: SparkSession, files, place) -> None:
+    """Hadoop removes `place` at the end of the JVM; it only notes paths that exist, so the folder is made for a moment."""
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    files.delete(place, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
