@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import simhash
-from basketry.llm.common import read
+from basketry.llm import chat, mixing, quality, simhash, tokens
+from basketry.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,5 +16,24 @@ def op4_simhash_balls(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op4_simhash_balls": op4_simhash_balls}
+def op5_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents"))
+
+
+def op6_elias_fano(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encoded(read(spark, folder, "documents"))
+
+
+def op9_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(read(spark, folder, "documents"))
+
+
+def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read(spark, folder, "conversations").unionByName(chat.probe(spark), allowMissingColumns=True)
+    return chat.read_back(stored(chat.samples(turns), "chat-samples"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op9_adaptive_quality, op10_chat_windows)
+}
 ORACLES: dict[str, str] = {}
