@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from basketry.llm.common import stored
+from basketry.llm.common import raw_texts, stored
 
 WINDOW, LITERALS = 8, 4
-#: Share of a question's windows that must be matched by one document, in one alignment.
-COVERAGE = 0.6
+#: Share of a question's windows that one document must match in one alignment, and the number that is enough of a longer
+#: question: six windows are a passage of 13 words.
+COVERAGE, ENOUGH = 0.6, 6
 #: Bits of the filter that all tasks get; its size does not depend on the data.
 FILTER_BITS = 1 << 23
 
@@ -31,65 +32,113 @@ UNITS = frozenset(
     "mile inches inch feet foot yards yard grams gram kilograms kilogram ounces ounce liters litres liter gallons gallon seconds second minutes "
     "minute hours hour days day weeks week months month years year percent degrees degree".split()
 )
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d,.:/]*%?(?:st|nd|rd|th)?")
 _NUMBER_UNIT = re.compile(r"([+-]?[$€£]?\d[\d,.]*)([^\W\d_]+|%|°[CF]?)")
 _EDGES = re.compile(r"^[^\w$€£%+-]+|[^\w%]+$")
-NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
-
-
-def template(text: str | None) -> tuple[list[str], list[str], list[bool]]:
-    """Template words, their values, and which are slots. Words lose the punctuation at their edges and their case.
-
-    A name is a word with a capital first letter and lower-case rest inside a sentence. A number with its unit is one number
-    slot and one unit slot. A word of punctuation alone is left out.
+WORD, NUM, NAME, UNIT = range(4)
+SLOT = ("", "<num>", "<name>", "<unit>")
+_PUNCTUATION, _JOINED, _CAPITAL = 4, 5, 6
+_REMEMBERED = 300_000
+
+
+def _told(raw: bytes) -> tuple[int, str, bool]:
+    """Kind of a word by itself, the word without edge punctuation in lower case, and whether a sentence ends behind it."""
+    word = raw.decode()
+    ends = word[-1] in ".!?:;\"'"
+    word = _EDGES.sub("", word)
+    if not word:
+        return _PUNCTUATION, "", ends
+    joined = _NUMBER_UNIT.fullmatch(word)
+    if _NUMBER.fullmatch(word):
+        return NUM, word, ends
+    if joined and (joined[2].lower() in UNITS or joined[2][0] in "%°"):
+        return _JOINED, word, ends
+    if word.lower() in UNITS:
+        return UNIT, word.lower(), ends
+    return (_CAPITAL if word[0].isupper() and word[1:].islower() else WORD), word.lower(), ends
+
+
+class _Known(dict):
+    """Words met so far, each with a row of `kinds`, `codes` and `ends`."""
+
+    def __init__(self):
+        super().__init__()
+        self.told: list[tuple[int, str, bool]] = []
+        self._codes: list[int] = []
+
+    def __missing__(self, raw: bytes) -> int:
+        kind, word, ends = _told(raw)
+        self.told.append((kind, word, ends))
+        self._codes.append(xxh64_intdigest(word.encode(), 1))
+        self[raw] = len(self.told) - 1
+        return len(self.told) - 1
+
+
+class Templates:
+    """Template words and windows of texts.
+
+    A name is a word with a capital first letter and lower-case rest inside a sentence; a unit is a unit word behind a number; a number
+    with its unit is two slots. Words lose the punctuation at their edges and their case; a word of punctuation alone is left out.
     """
-    words: list[str] = []
-    values: list[str] = []
-    starts = True
-    for raw in _TOKEN.findall(text or ""):
-        word = _EDGES.sub("", raw)
-        ends = raw[-1] in ".!?:;\"'" or "\n" in raw
-        if word:
-            joined = _NUMBER_UNIT.fullmatch(word)
-            if _NUMBER.fullmatch(word):
-                words.append(NUM)
-                values.append(word)
-            elif joined and (joined[2].lower() in UNITS or joined[2][0] in "%°"):
-                words += [NUM, UNIT]
-                values += [joined[1], joined[2].lower()]
-            elif word.lower() in UNITS and words and words[-1] == NUM:
-                words.append(UNIT)
-                values.append(word.lower())
-            elif not starts and word[0].isupper() and word[1:].islower():
-                words.append(NAME)
-                values.append(word.lower())
-            else:
-                words.append(word.lower())
-                values.append(word.lower())
-        starts = ends
-    return words, values, [w in (NUM, NAME, UNIT) for w in words]
-
-
-def _windows(words: list[str], slots: list[bool]) -> list[tuple[int, int]]:
-    """(position, hash) of each window with enough literal words; a shorter text is one window."""
-    n = len(words)
+
+    def __init__(self):
+        self._known = _Known()
+        self._kind = self._code = self._ends = np.zeros(0)
+
+    def _arrays(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        if len(self._known) > _REMEMBERED:
+            self._known, self._kind = _Known(), np.zeros(0)
+        known = self._known
+        ids = np.fromiter(map(known.__getitem__, raws), np.int64, len(raws))
+        if len(self._kind) < len(known.told):
+            fresh = known.told[len(self._kind) :]
+            old = len(self._kind)
+            grown = lambda a, b, t: np.concatenate((a[:old].astype(t), np.array(b, t)))
+            self._kind = grown(self._kind, [x[0] for x in fresh], np.int8)
+            self._ends = grown(self._ends, [x[2] for x in fresh], bool)
+            self._code = grown(self._code, known._codes[old:], np.uint64)
+        return ids, self._kind[ids], self._code[ids], self._ends[ids]
+
+    def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kind and code of each template word, and the number of the word it was made from (for `value`)."""
+        raws = (text or b"").split()
+        ids, kind, code, ends = self._arrays(raws)
+        starts = np.concatenate((np.ones(1, bool), ends[:-1])) if len(raws) else np.zeros(0, bool)
+        kind = np.where(kind == _CAPITAL, np.where(starts, WORD, NAME), kind)
+        used = kind != _PUNCTUATION
+        ids, kind, code = ids[used], kind[used], code[used]
+        joined = kind == _JOINED
+        if joined.any():
+            times = np.where(joined, 2, 1)
+            second = np.cumsum(times)[joined] - 1
+            ids, kind, code = np.repeat(ids, times), np.repeat(kind, times), np.repeat(code, times)
+            kind[second], kind[second - 1] = UNIT, NUM
+        behind = np.concatenate((np.zeros(1, bool), kind[:-1] == NUM)) if len(kind) else np.zeros(0, bool)
+        kind = np.where((kind == UNIT) & ~behind, WORD, kind)
+        return kind, np.where(kind == WORD, code, kind.astype(np.uint64)), ids
+
+    def value(self, ids: np.ndarray, kind: np.ndarray, i: int) -> str:
+        """Slot type and value of template word `i`."""
+        told = self._known.told[ids[i]]
+        word = told[1]
+        if told[0] == _JOINED:
+            word = _NUMBER_UNIT.fullmatch(word)[1 if kind[i] == NUM else 2].lower()
+        return SLOT[kind[i]] + word
+
+
+def _windows(kind: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the windows with enough literal words; a shorter text is one window."""
+    n = len(kind)
     if not n:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     width = min(WINDOW, n)
-    codes = [xxh64_intdigest(w.encode(), 1) for w in words]
-    hashes = np.zeros(n - width + 1, np.uint64)
+    hashes = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
-        hashes = hashes * np.uint64(0x100000001B3) + np.array(codes[k : n - width + 1 + k], np.uint64)
+        hashes = (hashes ^ code[k : n - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         hashes ^= hashes >> np.uint64(29)
-    literal = np.convolve(~np.array(slots), np.ones(width, int), "valid")
-    use = literal >= min(LITERALS, width)
-    hashes ^= np.uint64(width)
-    return list(zip(np.flatnonzero(use).tolist(), hashes[use].view(np.int64).tolist(), strict=True))
-
-
-def _slices(words: list[str], values: list[str], slots: list[bool], at: int) -> list[str]:
-    return [f"{words[i]}{values[i]}" for i in range(at, min(at + WINDOW, len(words))) if slots[i]]
+    literal = np.concatenate((np.zeros(1, np.int64), np.cumsum(kind == WORD)))
+    at = np.flatnonzero(literal[width:] - literal[: n - width + 1] >= min(LITERALS, width))
+    return at, hashes[at]
 
 
 _OUT = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
@@ -101,17 +150,19 @@ def template_windows(rows: DataFrame, key: str, text: str, only: bytes | None =
     allowed = np.frombuffer(only, np.uint8) if only is not None else None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        reader, held = Templates(), []
         for part in parts:
-            for row_key, row_text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words, values, slots = template(row_text)
-                found = _windows(words, slots)
-                n = len(found)
-                if allowed is not None and found:
-                    bits = np.array([h for _, h in found]).view(np.uint64) % np.uint64(FILTER_BITS)
-                    hit = allowed[(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8) & 1
-                    found = [found[i] for i in np.flatnonzero(hit)]
-                held += [(row_key, n, at, h, _slices(words, values, slots, at)) for at, h in found]
+            for row_key, row_text in zip(part.column(0).to_pylist(), raw_texts(part), strict=True):
+                kind, code, ids = reader.read(row_text)
+                at, hashes = _windows(kind, code)
+                n = len(at)
+                if allowed is not None and n:
+                    bits = hashes % np.uint64(FILTER_BITS)
+                    hit = (allowed[(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    at, hashes = at[hit], hashes[hit]
+                for i, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                    slots = [reader.value(ids, kind, j) for j in range(i, min(i + WINDOW, len(kind))) if kind[j] != WORD]
+                    held.append((row_key, n, i, h, slots))
                 if len(held) >= 8192:
                     yield _batch(held)
                     held = []
@@ -145,10 +196,10 @@ def window_filter(windows: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, enough: int = ENOUGH) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, exact): documents that hold a benchmark text, whole or with other values.
 
-    One alignment of a document with an item (a fixed distance of their positions) must cover `coverage` of the item's windows, and its
+    One alignment of a document with an item (a fixed distance of their positions) must cover `coverage` of the item's windows or `enough` of them, and its
     slot values must correspond one to one; `exact` says that they are equal. Null and empty texts, items without a literal word, and
     rows without id match nothing. Items of fewer than eight words count as one window of all their words, found in texts as short only.
     Repeated items are one.
@@ -163,7 +214,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     keys = ["doc_id", "item_id", "shift"]
     covered = both.groupBy("doc_id", "item_id", shift).agg(F.first("n_windows").alias("n_windows"), F.countDistinct("item_at").alias("n_matched"))
-    covered = covered.filter(F.col("n_matched") >= F.col("n_windows") * F.lit(coverage))
+    covered = covered.filter(F.col("n_matched") >= F.least(F.col("n_windows") * F.lit(coverage), F.lit(float(enough))))
     slots = both.select("doc_id", "item_id", shift, pair.alias("p")).filter("p IS NOT NULL").select(*keys, "p.item_slots", "p.slots").distinct()
     odd = slots.groupBy(*keys, "item_slots").agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
     odd = odd.unionByName(slots.groupBy(*keys, "slots").agg(F.count("*").alias("n")).filter("n > 1").select(*keys))

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import chat, mixing, quality, simhash, tokens
+from basketry.llm import chat, decontaminate, mixing, quality, simhash, tokens, url_filters
 from basketry.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_url_list_asof(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    return url_filters.evaluate(url_filters.derived_captures(pages), url_filters.derived_entries(pages))
+
+
 def op4_simhash_balls(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
@@ -24,6 +29,10 @@ def op6_elias_fano(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(read(spark, folder, "documents"))
 
 
+def op8_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op9_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(read(spark, folder, "documents"))
 
@@ -34,6 +43,6 @@ def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op9_adaptive_quality, op10_chat_windows)
+    f.__name__: f for f in (op2_url_list_asof, op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op8_template_decontamination, op9_adaptive_quality, op10_chat_windows)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_list_asof": url_filters.ORACLE}
