@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import chat, decontaminate, mixing, quality, simhash, tokens, url_filters
+from basketry.llm import chat, decontaminate, licenses, mixing, quality, simhash, tokens, url_filters
 from basketry.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_url_list_asof(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.evaluate(url_filters.derived_captures(pages), url_filters.derived_entries(pages))
 
 
+def op3_license_patience(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(spark, folder, "documents"))
+
+
 def op4_simhash_balls(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
@@ -43,6 +47,6 @@ def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_url_list_asof, op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op8_template_decontamination, op9_adaptive_quality, op10_chat_windows)
+    f.__name__: f for f in (op2_url_list_asof, op3_license_patience, op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op8_template_decontamination, op9_adaptive_quality, op10_chat_windows)
 }
 ORACLES: dict[str, str] = {"op2_url_list_asof": url_filters.ORACLE}
