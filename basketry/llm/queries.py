@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import chat, decontaminate, licenses, mixing, quality, simhash, tokens, url_filters
+from basketry.llm import chat, decontaminate, licenses, mixing, quality, simhash, substrings, tokens, url_filters
 from basketry.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op6_elias_fano(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(read(spark, folder, "documents"))
 
 
+def op7_fm_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated(read(spark, folder, "documents"))
+
+
 def op8_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -47,6 +51,6 @@ def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_url_list_asof, op3_license_patience, op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op8_template_decontamination, op9_adaptive_quality, op10_chat_windows)
+    f.__name__: f for f in (op2_url_list_asof, op3_license_patience, op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op7_fm_substrings, op8_template_decontamination, op9_adaptive_quality, op10_chat_windows)
 }
 ORACLES: dict[str, str] = {"op2_url_list_asof": url_filters.ORACLE}
