@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -51,3 +52,9 @@ def batches(rows: Iterable[dict], schema: pa.Schema, limit: int = 4096) -> Itera
 def spread(total: int, each: int) -> int:
     """Number of parts that hold about `each` units of `total`."""
     return max(1, -(-total // each))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, between the steps of a long job."""
+    gc.collect()
+    spark._jvm.System.gc()

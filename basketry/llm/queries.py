@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import chat, decontaminate, licenses, mixing, quality, simhash, substrings, tokens, url_filters
+from basketry.llm import brown, chat, decontaminate, licenses, mixing, quality, simhash, substrings, tokens, url_filters
 from basketry.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.scores(read(spark, folder, "documents"))
+
+
 def op2_url_list_asof(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages")
     return url_filters.evaluate(url_filters.derived_captures(pages), url_filters.derived_entries(pages))
@@ -51,6 +55,6 @@ def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_url_list_asof, op3_license_patience, op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op7_fm_substrings, op8_template_decontamination, op9_adaptive_quality, op10_chat_windows)
+    f.__name__: f for f in (op1_brown_lm, op2_url_list_asof, op3_license_patience, op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op7_fm_substrings, op8_template_decontamination, op9_adaptive_quality, op10_chat_windows)
 }
 ORACLES: dict[str, str] = {"op2_url_list_asof": url_filters.ORACLE}

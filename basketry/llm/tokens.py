@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from basketry.session import scratch_path
 
 END = 1
 #: Bytes of ids in a shard, and words whose ids a task remembers.
-SHARD_BYTES, REMEMBERED = 16 << 20, 200_000
+SHARD_BYTES, REMEMBERED = 8 << 20, 150_000
 #: Shards whose starts are summed up in one window partition.
 LANE = 4096
 MAGIC = b"IDSHARD1"
@@ -53,13 +54,11 @@ class WordCoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text and the end id, as bytes. Null is an empty text."""
         split = [(x or b"").split() for x in texts]
-        new = {w for words in split for w in words} - self._known.keys()
-        if len(self._known) + len(new) > REMEMBERED:
-            self._known = {w: v for i, (w, v) in enumerate(self._known.items()) if i < REMEMBERED // 2}
-            new = {w for words in split for w in words} - self._known.keys()
-        fresh = sorted(new)
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
+        if len(self._known) > REMEMBERED:  # the words met first are the frequent ones
+            self._known = dict(islice(self._known.items(), REMEMBERED // 2))
+        fresh = [w for w in {w for words in split for w in words} if w not in self._known]
+        for at in range(0, len(fresh), 2_000):
+            part = fresh[at : at + 2_000]
             for w, e in zip(part, self._tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self._known[w] = np.array(e.ids, f"<u{self.width}").tobytes()
         end = END.to_bytes(self.width, "little")
@@ -114,10 +113,10 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
             )
 
         for part in parts:
-            keys, texts = part.column("doc_id").to_pylist(), raw_texts(part)
-            for at in range(0, len(keys), 64):
-                coded = coder.encode(texts[at : at + 64])
-                doc_ids += keys[at : at + 64]
+            for at in range(0, part.num_rows, 64):
+                few = part.slice(at, 64)
+                coded = coder.encode(raw_texts(few))
+                doc_ids += few.column("doc_id").to_pylist()
                 ids += coded
                 held += sum(map(len, coded))
                 if held >= SHARD_BYTES:
