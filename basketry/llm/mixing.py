@@ -161,8 +161,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 def resampled(docs: DataFrame, seed: int = 0) -> DataFrame:
     """`docs` with each row as often as the mix takes it; rows of size 0 go. Rows stay equal to their originals."""
-    marked = stored(with_sizes(docs.withColumn("rid", F.monotonically_increasing_id().cast("string"))), "mix-rows")
-    narrow = marked.select("rid", "doc_id", F.col("source").cast("string").alias("source"), "size")
-    times = copies(narrow, seed).filter("copies > 0").select("rid", "copies")
-    taken = marked.join(times, "rid").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*docs.columns)
+    marked = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().cast("string").alias("rid")), "mix-rows")
+    narrow = marked.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"), F.col("row.text").alias("text"))
+    times = copies(stored(with_sizes(narrow).drop("text"), "mix-sizes"), seed).filter("copies > 0").select("rid", "copies")
+    taken = marked.join(times, "rid").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select("row.*")

@@ -159,5 +159,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, with their own columns."""
-    return judged(stored(measured(docs), "quality-measures")).filter("q_kept").select(*docs.columns)
+    """The rows of `docs` that the rules keep, with their own columns, whatever these are called."""
+    packed = docs.select(F.struct("*").alias("q_row"), "text", "lang", "source")
+    return judged(stored(measured(packed).drop("text"), "quality-measures")).filter("q_kept").select("q_row.*")
