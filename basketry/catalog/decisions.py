@@ -73,7 +73,7 @@ def capacity_summary(x):
 @query("batch_decision", "O4 M21")
 def batch_decision(x):
     train, _, test = _splits(x)
-    model = models.fit_logistic(train, FEATURES, Y, max_iter=20)
+    model = models.fit_logistic(train, FEATURES, Y)
     last = test.agg(F.max(T).alias("last"))
     requests = test.join(F.broadcast(last), F.col(T) == F.col("last")).withColumnRenamed(ID, "customer_id").drop("last")
     return d.decide_batch(model, requests, 0.20)
@@ -128,7 +128,7 @@ def balance_smd(x):
 @query("weekly_trend", "O8 D14 F3 C9", f"""
     WITH w AS (SELECT WEEK_NO FROM x_transactions GROUP BY 1 HAVING min(DAY) < max(DAY) AND count(DISTINCT DAY) = 7 AND max(DAY) < 820 ORDER BY 1 DESC LIMIT 8),
     k AS (SELECT group_name, household_key FROM ({COHORT}) WHERE CAMPAIGN = 8)
-    SELECT group_name, WEEK_NO, round(avg(sales), 6) AS mean_sales FROM (
+    SELECT 8 AS CAMPAIGN, group_name, WEEK_NO, round(avg(sales), 6) AS mean_sales FROM (
       SELECT k.group_name, k.household_key, w.WEEK_NO, coalesce(sum(SALES_VALUE), 0) AS sales FROM k CROSS JOIN w
       LEFT JOIN x_transactions t ON t.household_key = k.household_key AND t.WEEK_NO = w.WEEK_NO AND t.DAY < 820 GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def weekly_trend(x):

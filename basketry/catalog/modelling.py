@@ -181,26 +181,26 @@ def _clustering(x):
 
 @query("kmeans_segments", "M3 M6")
 def kmeans_segments(x):
-    _, labelled = models.fit_kmeans(_clustering(x), SPACE, 4, seeds=(1, 2, 3))
+    model, labelled = models.fit_kmeans(_clustering(x), SPACE, 4)
     stored = x.stored(labelled, "kmeans-segments")
-    return rfm.customer_segments(stored)
+    return rfm.customer_segments(stored, n_clusters=model.getK(), seed=model.getSeed())
 
 
 @query("kmeans_sweep", "M4")
 def kmeans_sweep(x):
     spaces = {"recency_days+frequency+monetary": SPACE, "recency_days+frequency+log_monetary": SPACE[:2] + ["log_monetary"]}
-    return models.kmeans_sweep(_clustering(x), spaces, ks=(2, 4, 8), seeds=(0,))
+    return models.kmeans_sweep(_clustering(x), spaces)
 
 
 @query("kmeans_profile", "M5")
 def kmeans_profile(x):
-    _, labelled = models.fit_kmeans(_clustering(x), SPACE, 3, seeds=(1, 2))
+    _, labelled = models.fit_kmeans(_clustering(x), SPACE, 3)
     return rfm.cluster_profile(x.stored(labelled, "kmeans-profile"), "cluster_id")
 
 
 @query("kmeans_stability", "M7")
 def kmeans_stability(x):
-    return models.cluster_stability(_clustering(x), SPACE, "customer_unique_id", seeds=(7, 21, 42), starts=1)
+    return models.cluster_stability(_clustering(x), SPACE, "customer_unique_id")
 
 
 def _splits(x):
@@ -215,7 +215,7 @@ def logistic_scores(x):
 
     train, _, test = _splits(x)
     path = scratch_path(x.spark, "logistic-model")
-    models.save_model(models.fit_logistic(train, r.FEATURES, Y, max_iter=20), path)
+    models.save_model(models.fit_logistic(train, r.FEATURES, Y), path)
     scored = models.score_population(models.load_model(path), test, r.FEATURES)
     return prioritize(scored, 0.10, ID, P, by=T)
 
@@ -224,8 +224,8 @@ def logistic_scores(x):
 def class_weight_benchmark(x):
     train, valid, test = _splits(x)
     fitted = {
-        "balanced_logistic": models.fit_logistic(train, r.FEATURES, Y, balanced=True, max_iter=20),
-        "unweighted_logistic": models.fit_logistic(train, r.FEATURES, Y, max_iter=20),
+        "balanced_logistic": models.fit_logistic(train, r.FEATURES, Y, balanced=True),
+        "unweighted_logistic": models.fit_logistic(train, r.FEATURES, Y),
     }
     return models.benchmark_models(fitted, {"validation": valid, "test": test}, Y, ID)
 
@@ -233,7 +233,7 @@ def class_weight_benchmark(x):
 @query("reduced_logistic", "M9 K9")
 def reduced_logistic(x):
     train, _, test = _splits(x)
-    model = models.fit_logistic(r.ratio_features(train), r.REDUCED_FEATURES, Y, max_iter=20)
+    model = models.fit_logistic(r.ratio_features(train), r.REDUCED_FEATURES, Y)
     scored = models.scored(model, r.ratio_features(test))
     return m.roc_auc(scored, P, Y, T).join(m.average_precision(scored, P, Y, T), T)
 

@@ -200,7 +200,7 @@ def _prepared(x):
 def text_classifier(x):
     df = _prepared(x)
     model = reviews.fit_text_classifier(
-        df.filter("split = 'train'"), "review_observation_id", "review_text_normalized", "proxy", ["negative", "not_negative"], max_terms=20_000, max_iter=10
+        df.filter("split = 'train'"), "review_observation_id", "review_text_normalized", "proxy", ["negative", "not_negative"]
     )
     scored = model.predict(df.filter("split <> 'train'"), "review_observation_id", "review_text_normalized")
     return metrics.classification_report(scored, "proxy", "predicted_class")
@@ -214,14 +214,14 @@ def embedding_classifier(x):
         "vec_id", "embedding", (F.col("review_score") <= 2).cast("int").alias("target"), "review_creation_date"
     )
     df = x.stored(retention.temporal_split(rated, "review_creation_date", TRAIN_END, VALID_END), "review-embeddings")
-    model = reviews.fit_embedding_classifier(df.filter("split = 'train'"), "embedding", "target", max_iter=20)
+    model = reviews.fit_embedding_classifier(df.filter("split = 'train'"), "embedding", "target")
     scored = model.transform(reviews.embedding_vectors(df, "embedding")).select("split", "target", positive_probability().alias("p"))
     return metrics.roc_auc(scored, "p", "target", "split").join(metrics.average_precision(scored, "p", "target", "split"), "split")
 
 
 @query("theme_discovery", "N11 M5")
 def theme_discovery(x):
-    labelled, results = voc.discover_themes(x["embeddings"], "embedding", ks=(5, 8, 10))
+    labelled, results = voc.discover_themes(x["embeddings"], "embedding")
     rated = labelled.join(x["x_reviews"].select(F.col("review_observation_id").alias("vec_id"), "review_score"), "vec_id")
     profile = voc.theme_profile(rated)
     return profile.select(F.lit("profile").alias("kind"), F.col("cluster").alias("k"), F.col("share").alias("value")).unionByName(
@@ -409,7 +409,7 @@ def _high(x):
     SELECT 'VOC-' || strftime(period, '%Y-%m') || '-CLUSTER-' || theme_name AS decision_id, review_count, round(priority_score, 7) AS priority_score,
       coalesce(n, 0)::INTEGER AS n_reviews, coalesce(ids, '') AS review_ids FROM a LEFT JOIN e ON e.cluster = a.theme_name WHERE alert_level IN ('HIGH', 'WARNING')""")
 def decision_records(x):
-    records = voc.decision_records(_high(x), _reps(x), "period", "theme_name")
+    records = voc.decision_records(_high(x), _reps(x), "period", "theme_name", min_reviews=50)
     found = F.col("evidence.representative_reviews")
     return records.select(
         "decision_id", F.col("signal.review_count").alias("review_count"), F.round("signal.priority_score", 7).alias("priority_score"),
@@ -420,7 +420,7 @@ def decision_records(x):
 @query("decision_record_sink", "N17 A8")
 def decision_record_sink(x):
     path = scratch_path(x.spark, "decision-records")
-    records = voc.decision_records(_high(x), _reps(x), "period", "theme_name")
+    records = voc.decision_records(_high(x), _reps(x), "period", "theme_name", min_reviews=50)
     write_records(records, path)
     return x.spark.read.schema(records.schema).json(path).select("decision_id", "decision_type", "status", F.to_json("signal").alias("signal"))
 

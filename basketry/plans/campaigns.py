@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 from basketry.operators.joins import match_coverage, window_totals, without_overlap
+from basketry.operators.sets import union_all
 from basketry.operators.topk import latest_complete_weeks
 
 HOUSEHOLD, CAMPAIGN, START, END = "household_key", "CAMPAIGN", "START_DAY", "END_DAY"
@@ -84,11 +85,16 @@ def smd(metrics: DataFrame, cols: Sequence[str] = METRICS) -> DataFrame:
     return row.select(CAMPAIGN, "assigned_n", "comparison_n", *[value(c).alias(f"{c}_smd") for c in cols])
 
 
-def weekly_trend(cohort: DataFrame, tx: DataFrame, start: int, weeks: int = 8) -> DataFrame:
-    """Mean sales per household, group and week over the last complete weeks before `start`.
+def weekly_trend(cohort: DataFrame, tx: DataFrame, start: int | None = None, weeks: int = 8) -> DataFrame:
+    """Mean sales per household, campaign, group and week over the last complete weeks before the start day.
 
-    Households without sales count with zero, so a week's mean is its sales over the group size.
+    Without `start` each campaign of the cohort (a few) takes its own. Households without sales count with zero, so a week's mean is
+    its sales over the group size.
     """
+    if start is None:
+        starts = cohort.select(CAMPAIGN, START).distinct().collect()
+        parts = [weekly_trend(cohort.filter(F.col(CAMPAIGN) == r[CAMPAIGN]), tx, r[START], weeks) for r in starts]
+        return union_all(*parts)
     wanted = latest_complete_weeks(tx, start, weeks)
     sales = (
         tx.filter(F.col("DAY") < start)
@@ -96,12 +102,12 @@ def weekly_trend(cohort: DataFrame, tx: DataFrame, start: int, weeks: int = 8) -
         .agg(F.sum("SALES_VALUE").alias("sales"))
         .join(F.broadcast(wanted), "WEEK_NO", "left_semi")
     )
-    members = cohort.select("group_name", HOUSEHOLD)
-    sizes = members.groupBy("group_name").agg(F.count(F.lit(1)).alias("n"))
-    sums = members.join(sales, HOUSEHOLD).groupBy("group_name", "WEEK_NO").agg(F.sum("sales").alias("sales"))
+    members = cohort.select(CAMPAIGN, "group_name", HOUSEHOLD)
+    sizes = members.groupBy(CAMPAIGN, "group_name").agg(F.count(F.lit(1)).alias("n"))
+    sums = members.join(sales, HOUSEHOLD).groupBy(CAMPAIGN, "group_name", "WEEK_NO").agg(F.sum("sales").alias("sales"))
     grid = sizes.crossJoin(F.broadcast(wanted))
-    return grid.join(sums, ["group_name", "WEEK_NO"], "left").select(
-        "group_name", "WEEK_NO", (F.coalesce("sales", F.lit(0.0)) / F.col("n")).alias("mean_sales")
+    return grid.join(sums, [CAMPAIGN, "group_name", "WEEK_NO"], "left").select(
+        CAMPAIGN, "group_name", "WEEK_NO", (F.coalesce("sales", F.lit(0.0)) / F.col("n")).alias("mean_sales")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 
@@ -65,10 +66,15 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def _best_kmeans(vectors: DataFrame, k: int, seeds: Sequence[int]) -> KMeansModel:
-    """The start with the least within-cluster sum of squares."""
-    fits = [KMeans(k=k, seed=s, maxIter=50, featuresCol="features", predictionCol="cluster_id").fit(vectors) for s in seeds]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def best_kmeans(
+    vectors: DataFrame, k: int, seeds: Sequence[int], name: str = "cluster_id", max_iter: int = 50
+) -> KMeansModel:
+    """The start with the least within-cluster sum of squares. Starts are independent, so a few are fitted at a time."""
+    def fit(seed: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol=name).fit(vectors)
+
+    with ThreadPoolExecutor(4) as pool:
+        return min(pool.map(fit, seeds), key=lambda m: m.summary.trainingCost)
 
 
 def fit_kmeans(
@@ -77,21 +83,21 @@ def fit_kmeans(
     """K-means on standardized columns, best of several starts; returns the model and the labelled rows."""
     vectors = _vectors(df, cols).persist()
     try:
-        model = _best_kmeans(vectors, k, seeds)
+        model = best_kmeans(vectors, k, seeds)
     finally:
         vectors.unpersist()
     return model, model.transform(_vectors(df, cols)).drop("features")
 
 
 def kmeans_sweep(
-    df: DataFrame, spaces: Mapping[str, Sequence[str]], ks: Sequence[int] = tuple(range(2, 9)), seeds: Sequence[int] = (0, 1, 2)
+    df: DataFrame, spaces: Mapping[str, Sequence[str]], ks: Sequence[int] = tuple(range(2, 9)), seeds: Sequence[int] = tuple(range(20))
 ) -> DataFrame:
     """Per feature space and k: inertia, silhouette, smallest and largest cluster in percent."""
     rows = []
     for name, cols in spaces.items():
         vectors = _vectors(df, cols).select("features").persist()
         for k in ks:
-            model = _best_kmeans(vectors, k, seeds)
+            model = best_kmeans(vectors, k, seeds)
             scored = model.transform(vectors)
             silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id").evaluate(scored)
             sizes = model.summary.clusterSizes
@@ -107,13 +113,13 @@ def kmeans_sweep(
 
 
 def cluster_stability(
-    df: DataFrame, cols: Sequence[str], id: str, k: int = 4, seeds: Sequence[int] = (7, 21, 42, 100, 2026), starts: int = 3
+    df: DataFrame, cols: Sequence[str], id: str, k: int = 4, seeds: Sequence[int] = (7, 21, 42, 100, 2026), starts: int = 20
 ) -> DataFrame:
     """Adjusted Rand index of every pair of runs with different seeds. All labels sit on one table."""
     vectors = _vectors(df, cols).select(id, "features").persist()
     labelled = vectors
     for seed in seeds:
-        model = _best_kmeans(vectors, k, [seed + i for i in range(starts)])
+        model = best_kmeans(vectors, k, [seed + i for i in range(starts)])
         model.setPredictionCol(f"run_{seed}")
         labelled = model.transform(labelled)
     pairs = [
@@ -133,7 +139,7 @@ def balanced_weight(df: DataFrame, target: str, name: str = "class_weight") -> D
 
 
 def fit_logistic(
-    df: DataFrame, cols: Sequence[str], target: str, balanced: bool = False, max_iter: int = 100
+    df: DataFrame, cols: Sequence[str], target: str, balanced: bool = False, max_iter: int = 2000
 ) -> PipelineModel:
     """L2 logistic regression on standardized columns; `balanced` weighs both classes equally."""
     n = df.count()
@@ -151,7 +157,7 @@ def fit_logistic(
 
 
 def fit_tree_classifier(
-    df: DataFrame, cols: Sequence[str], target: str, rounds: int = 50, depth: int = 4, rate: float = 0.05, seed: int = 42
+    df: DataFrame, cols: Sequence[str], target: str, rounds: int = 300, depth: int = 4, rate: float = 0.05, seed: int = 42
 ) -> PipelineModel:
     """Boosted trees; positives carry the weight negatives / positives."""
     counted = with_group_total(df, None, {"__n": F.count(F.lit(1)), "__p": F.count_if(F.col(target) == 1)})

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -240,7 +240,9 @@ def _grams(words: Column, n: int) -> Column:
 def terms(text: Column, ngrams: tuple[int, int] = (1, 2)) -> Column:
     """Words of at least two characters and their n-grams, as one array with repeats."""
     words = F.regexp_extract_all(text, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    return F.concat(*[_grams(words, n) for n in range(ngrams[0], ngrams[1] + 1)])
+    # bound as a lambda's variable, the words are found once and not once for each use
+    grams = F.transform(F.array(words), lambda w: F.concat(*[_grams(w, n) for n in range(ngrams[0], ngrams[1] + 1)]))
+    return F.flatten(grams)
 
 
 def term_counts(docs: DataFrame, id: str, text: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
@@ -320,7 +322,7 @@ class TextClassifier:
 
 
 def fit_text_classifier(
-    train: DataFrame, id: str, text: str, label: str, classes: Sequence[str], max_terms: int = 100_000, max_iter: int = 50
+    train: DataFrame, id: str, text: str, label: str, classes: Sequence[str], max_terms: int = 100_000, max_iter: int = 2000
 ) -> TextClassifier:
     """Logistic regression on term weights; class i of `classes` is label value i.
 
@@ -342,16 +344,19 @@ def fit_text_classifier(
     return TextClassifier(vocab, size, model, list(classes))
 
 
-def fit_embedding_classifier(train: DataFrame, vec: str, target: str, max_iter: int = 100) -> PipelineModel:
+def fit_embedding_classifier(train: DataFrame, vec: str, target: str, max_iter: int = 2000) -> PipelineModel:
     """Balanced logistic regression on scaled embedding vectors; the vector column is named `embedding_vector`."""
     rows = train.count()
     data = balanced_weight(embedding_vectors(train, vec), target)
-    scaler = StandardScaler(inputCol="embedding_vector", outputCol="features", withMean=True, withStd=True).fit(data)
+    scaler = StandardScaler(inputCol="embedding_vector", outputCol="scaled_vector", withMean=True, withStd=True).fit(data)
+    # Spark divides by the sample deviation; this makes it the population one
+    factor = (rows / (rows - 1)) ** 0.5 if rows > 1 else 1.0
+    widen = ElementwiseProduct(scalingVec=Vectors.dense([factor] * scaler.mean.size), inputCol="scaled_vector", outputCol="features")
     model = LogisticRegression(
         featuresCol="features", labelCol=target, weightCol="class_weight", regParam=1.0 / rows, standardization=False,
         maxIter=max_iter,
-    ).fit(scaler.transform(data))
-    return PipelineModel([scaler, model])
+    ).fit(widen.transform(scaler.transform(data)))
+    return PipelineModel([scaler, widen, model])
 
 
 def embedding_vectors(df: DataFrame, vec: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -18,6 +17,7 @@ from basketry.operators.ordering import join_groups, quantile_columns, with_grou
 from basketry.operators.sets import union_all
 from basketry.operators.topk import top_n_per_group
 from basketry.operators.windows import add_trailing, period_change
+from basketry.plans.models import best_kmeans
 
 # Analyst names of the themes.
 THEME_NAMES = {
@@ -71,14 +71,15 @@ def theme_name(cluster: Column) -> Column:
 
 
 def discover_themes(
-    df: DataFrame, vec: str, ks: Sequence[int] = (5, 8, 10, 12, 15), seed: int = 42, name: str = "semantic_theme_cluster"
+    df: DataFrame, vec: str, ks: Sequence[int] = (5, 8, 10, 12, 15), seed: int = 42, name: str = "semantic_theme_cluster",
+    starts: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
-    """K-means per k on the embedding column; returns (labelled rows of the best silhouette, one row per k)."""
+    """K-means per k on the embedding column, best of `starts`; returns (labelled rows of the best silhouette, one row per k)."""
     vectors = df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>"))).persist()
     results, best = [], None
     try:
         for k in ks:
-            model = KMeans(k=k, seed=seed, maxIter=50, predictionCol=name).fit(vectors)
+            model = best_kmeans(vectors, k, range(seed, seed + starts), name, max_iter=100)
             silhouette = ClusteringEvaluator(predictionCol=name).evaluate(model.transform(vectors))
             sizes = model.summary.clusterSizes
             results.append((k, float(silhouette), int(min(sizes)), int(max(sizes))))
@@ -118,7 +119,8 @@ def representatives(df: DataFrame, vec: str, label: str, id: str, n: int = 15) -
     centres = rows.groupBy(label).agg(vector_to_array(Summarizer.mean(array_to_vector("__v"))).alias("__c"))
     near = join_groups(rows, centres, [label])
     cosine = F.try_divide(_dot(F.col("__v"), F.col("__c")), F.sqrt(_dot(F.col("__v"), F.col("__v")) * _dot(F.col("__c"), F.col("__c"))))
-    near = near.withColumn("distance_to_centroid", 1.0 - cosine).drop("__v", "__c")
+    # a zero vector has no direction: its distance is 1
+    near = near.withColumn("distance_to_centroid", 1.0 - F.coalesce(cosine, F.lit(0.0))).drop("__v", "__c")
     return top_n_per_group(near, label, ["distance_to_centroid", id], n)
 
 
@@ -354,9 +356,12 @@ def evidence(reps: DataFrame, n: int = 5, label: str = "cluster") -> DataFrame:
 
 def decision_records(
     alerts: DataFrame, reps: DataFrame, period: str = "month", theme: str = "semantic_theme_cluster", label: str = "cluster",
-    dataset: str = "Customer review dataset",
+    dataset: str = "Customer review dataset", min_reviews: int = 100,
 ) -> DataFrame:
-    """One nested record per HIGH alert, with up to five representative reviews as evidence."""
+    """One nested record per HIGH alert, with up to five representative reviews as evidence.
+
+    `min_reviews` is the threshold that `theme_alerts` used.
+    """
     high = alerts.filter(F.col("alert_level") == "HIGH")
     with_proof = join_groups(high, evidence(reps, label=label).withColumnRenamed(label, theme), [theme], "left")
     month = F.date_format(period, "yyyy-MM")
@@ -370,7 +375,7 @@ def decision_records(
     empty = F.array().cast("array<struct<review_id:string,order_id:string,review_score:bigint,text:string>>")
     proof = F.struct(
         F.lit("Trailing 6-month theme baseline").alias("historical_baseline"),
-        F.lit(100).alias("minimum_review_threshold"),
+        F.lit(min_reviews).alias("minimum_review_threshold"),
         F.coalesce("representative_reviews", empty).alias("representative_reviews"),
     )
     return with_proof.select(

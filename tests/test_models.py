@@ -128,3 +128,22 @@ def test_representatives_by_brute_force(spark):
         centre = np.mean([v for _, v in rows], axis=0)
         near = sorted(rows, key=lambda r: 1 - r[1] @ centre / np.linalg.norm(r[1]) / np.linalg.norm(centre))[:5]
         assert [got[c][k] for k in range(1, 6)] == [i for i, _ in near]
+
+
+def test_a_zero_vector_is_no_representative_before_others(spark):
+    from basketry.plans import voc
+
+    df = spark.createDataFrame([(1, [0.0, 0.0], "a"), (2, [1.0, 1.0], "a"), (3, [2.0, 1.0], "a")], "id int, v array<double>, c string")
+    got = [(r["id"], round(r["distance_to_centroid"], 6)) for r in voc.representatives(df, "v", "c", "id").orderBy("distance_to_centroid").collect()]
+    assert got[-1] == (1, 1.0) and got[0][1] < 0.1
+
+
+def test_embedding_scaling_is_by_the_population_deviation(spark):
+    from basketry.plans import reviews
+
+    rows = [(float(i % 5), float(i), i % 2) for i in range(20)]
+    df = spark.createDataFrame([([a, b], y) for a, b, y in rows], "v array<double>, y int")
+    model = reviews.fit_embedding_classifier(df, "v", "y")
+    got = model.transform(reviews.embedding_vectors(df, "v")).select("features").collect()
+    for k in range(2):
+        assert abs(sum(r["features"][k] ** 2 for r in got) / 20 - 1) < 1e-9
