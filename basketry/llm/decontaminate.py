@@ -38,40 +38,45 @@ _EDGES = re.compile(r"^[^\w$€£%+-]+|[^\w%]+$")
 WORD, NUM, NAME, UNIT = range(4)
 SLOT = ("", "<num>", "<name>", "<unit>")
 _PUNCTUATION, _JOINED, _CAPITAL = 4, 5, 6
-_REMEMBERED = 300_000
+_REMEMBERED = 400_000
 
 
 def _told(raw: bytes) -> tuple[int, str, bool]:
     """Kind of a word by itself, the word without edge punctuation in lower case, and whether a sentence ends behind it."""
-    word = raw.decode()
-    ends = word[-1] in ".!?:;\"'"
-    word = _EDGES.sub("", word)
-    if not word:
-        return _PUNCTUATION, "", ends
-    joined = _NUMBER_UNIT.fullmatch(word)
-    if _NUMBER.fullmatch(word):
-        return NUM, word, ends
-    if joined and (joined[2].lower() in UNITS or joined[2][0] in "%°"):
-        return _JOINED, word, ends
-    if word.lower() in UNITS:
-        return UNIT, word.lower(), ends
-    return (_CAPITAL if word[0].isupper() and word[1:].islower() else WORD), word.lower(), ends
+    word, ends = raw.decode(), False
+    if not word.isalpha():
+        ends = word[-1] in ".!?:;\"'"
+        word = _EDGES.sub("", word)
+        if not word:
+            return _PUNCTUATION, "", ends
+        joined = _NUMBER_UNIT.fullmatch(word)
+        if _NUMBER.fullmatch(word):
+            return NUM, word, ends
+        if joined and (joined[2].lower() in UNITS or joined[2][0] in "%°"):
+            return _JOINED, word, ends
+    low = word.lower()
+    if low in UNITS:
+        return UNIT, low, ends
+    return (_CAPITAL if word[0] != low[0] and word[1:] == low[1:] and len(word) > 1 else WORD), low, ends
 
 
 class _Known(dict):
-    """Words met so far, each with a row of `kinds`, `codes` and `ends`."""
+    """Words met so far, each with its number and a row of `kind`, `code` and `ends`."""
 
     def __init__(self):
         super().__init__()
-        self.told: list[tuple[int, str, bool]] = []
-        self._codes: list[int] = []
+        self.told: list[str] = []
+        self.kind, self.code, self.ends = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, bool)
 
     def __missing__(self, raw: bytes) -> int:
         kind, word, ends = _told(raw)
-        self.told.append((kind, word, ends))
-        self._codes.append(xxh64_intdigest(word.encode(), 1))
-        self[raw] = len(self.told) - 1
-        return len(self.told) - 1
+        i = len(self.told)
+        if i == len(self.kind):
+            self.kind, self.code, self.ends = (np.concatenate((x, np.zeros_like(x))) for x in (self.kind, self.code, self.ends))
+        self.kind[i], self.code[i], self.ends[i] = kind, xxh64_intdigest(word.encode(), 1), ends
+        self.told.append(word)
+        self[raw] = i
+        return i
 
 
 class Templates:
@@ -83,26 +88,15 @@ class Templates:
 
     def __init__(self):
         self._known = _Known()
-        self._kind = self._code = self._ends = np.zeros(0)
-
-    def _arrays(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
-        if len(self._known) > _REMEMBERED:
-            self._known, self._kind = _Known(), np.zeros(0)
-        known = self._known
-        ids = np.fromiter(map(known.__getitem__, raws), np.int64, len(raws))
-        if len(self._kind) < len(known.told):
-            fresh = known.told[len(self._kind) :]
-            old = len(self._kind)
-            grown = lambda a, b, t: np.concatenate((a[:old].astype(t), np.array(b, t)))
-            self._kind = grown(self._kind, [x[0] for x in fresh], np.int8)
-            self._ends = grown(self._ends, [x[2] for x in fresh], bool)
-            self._code = grown(self._code, known._codes[old:], np.uint64)
-        return ids, self._kind[ids], self._code[ids], self._ends[ids]
 
     def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Kind and code of each template word, and the number of the word it was made from (for `value`)."""
         raws = (text or b"").split()
-        ids, kind, code, ends = self._arrays(raws)
+        if len(self._known) > _REMEMBERED:
+            self._known = _Known()
+        known = self._known
+        ids = np.fromiter(map(known.__getitem__, raws), np.int64, len(raws))
+        kind, code, ends = known.kind[ids], known.code[ids], known.ends[ids]
         starts = np.concatenate((np.ones(1, bool), ends[:-1])) if len(raws) else np.zeros(0, bool)
         kind = np.where(kind == _CAPITAL, np.where(starts, WORD, NAME), kind)
         used = kind != _PUNCTUATION
@@ -119,9 +113,8 @@ class Templates:
 
     def value(self, ids: np.ndarray, kind: np.ndarray, i: int) -> str:
         """Slot type and value of template word `i`."""
-        told = self._known.told[ids[i]]
-        word = told[1]
-        if told[0] == _JOINED:
+        word = self._known.told[ids[i]]
+        if self._known.kind[ids[i]] == _JOINED:
             word = _NUMBER_UNIT.fullmatch(word)[1 if kind[i] == NUM else 2].lower()
         return SLOT[kind[i]] + word
 
@@ -208,7 +201,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, e
     only = window_filter(items)
     found = template_windows(docs.filter("doc_id IS NOT NULL"), "doc_id", "text", only)
     right = items.select(F.col("key").alias("item_id"), F.col("n").alias("n_windows"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
-    both = found.select(F.col("key").alias("doc_id"), "at", "hash", "slots").join(right, "hash")
+    both = stored(found.select(F.col("key").alias("doc_id"), "at", "hash", "slots").join(right, "hash"), "benchmark-matches")
     # one row per slot pair; windows without slots keep one empty pair
     pair = F.explode_outer(F.array_distinct(F.arrays_zip("item_slots", "slots")))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
