@@ -16,7 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import raw_texts
+from basketry.llm.common import raw_texts, stored
 from basketry.llm.elias_fano import EliasFano, encode
 from basketry.session import scratch_path
 
 END = 1
 #: Bytes of ids in a shard, and words whose ids a task remembers.
-SHARD_BYTES, REMEMBERED = 8 << 20, 150_000
+SHARD_BYTES, REMEMBERED = 4 << 20, 300_000
 #: Shards whose starts are summed up in one window partition.
 LANE = 4096
 MAGIC = b"IDSHARD1"
@@ -50,20 +50,48 @@ class WordCoder:
         self._tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._known: dict[bytes, bytes] = {}
+        self._met: dict[bytes, int] = {}
+        self._learn([b".", b","])
+        self._marks = {w[0]: ids for w, ids in self._known.items()}
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text and the end id, as bytes. Null is an empty text."""
-        split = [(x or b"").split() for x in texts]
-        if len(self._known) > REMEMBERED:  # the words met first are the frequent ones
-            self._known = dict(islice(self._known.items(), REMEMBERED // 2))
-        fresh = [w for w in {w for words in split for w in words} if w not in self._known]
-        for at in range(0, len(fresh), 2_000):
-            part = fresh[at : at + 2_000]
-            for w, e in zip(part, self._tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self._known[w] = np.array(e.ids, f"<u{self.width}").tobytes()
+        # the tokenizer ignores case, but for the text of its special tokens
+        split = [(x if b"<|" in x else x.lower()).split() if x else [] for x in texts]
+        known, met = self._known, self._met
+        fresh = []
+        for w in {w for words in split for w in words}:
+            if w in known:
+                met[w] += 1
+            else:
+                fresh.append(w)
+        hard = []
+        for w in fresh:
+            # a full stop or comma behind a letter is a piece of its own
+            if w[-1:] in (b".", b",") and w[-2:-1].isalpha() and w[:-1] in known:
+                known[w], met[w] = known[w[:-1]] + self._marks[w[-1]], 1
+            else:
+                hard.append(w)
+        for at in range(0, len(hard), 500):
+            self._learn(hard[at : at + 500])
         end = END.to_bytes(self.width, "little")
-        known = self._known
-        return [b"".join([*map(known.__getitem__, words), end]) for words in split]
+        out = [b"".join([*map(known.__getitem__, words), end]) for words in split]
+        if len(known) > REMEMBERED:  # the words met in most calls stay
+            often = nlargest(REMEMBERED // 2, met, key=met.__getitem__)
+            self._known, self._met = {w: known[w] for w in often}, {w: met[w] for w in often}
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Codes new words as one text and cuts its ids where the words begin."""
+        texts = [w.decode() for w in words]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        code = self._tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        at = np.fromiter((a for a, _ in code.offsets), np.int64, len(code.ids))
+        cuts = np.searchsorted(at, starts).tolist()
+        ids = np.array(code.ids, f"<u{self.width}")
+        for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
+            self._known[w] = ids[a:b].tobytes()
+            self._met[w] = 1
 
 
 def pack(lane: int, number: int, width: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -141,12 +169,6 @@ def _resolved(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _heads(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        found = [HEAD.unpack(x) for x in part.column("head").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (1, 2, 6)], ["lane", "number", "total"])
-
-
 def _rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for raw in part.column("content"):
@@ -168,7 +190,9 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, lane, number), one row per document, read from the files below `path`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
-    totals = files.select(F.expr(f"substring(content, 1, {HEAD.size})").alias("head")).mapInArrow(_heads, "lane bigint, number bigint, total bigint")
+    rows = files.select("content").mapInArrow(_rows, "doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint, lane bigint, number bigint")
+    each = stored(rows, "token-documents")
+    totals = each.groupBy("lane", "number").agg(F.sum("n_tokens").alias("total"))
     # a shard's first id: shards before it in its lane group, and groups before that; a row per shard or group, not per document
     totals = totals.withColumn("group", F.expr(f"lane DIV {LANE}"))
     groups = totals.groupBy("group").agg(F.sum("total").alias("all")).select(
@@ -177,7 +201,6 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     inside = F.sum("total").over(Window.partitionBy("group").orderBy("lane", "number")) - F.col("total")
     starts = totals.withColumn("inside", inside).join(groups, "group").select("lane", "number", (F.col("before") + F.col("inside")).alias("base"))
 
-    each = files.select("content").mapInArrow(_rows, "doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint, lane bigint, number bigint")
     return each.join(starts, ["lane", "number"]).select(
         "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "lane", "number"
     )
