@@ -130,7 +130,7 @@ def balance_smd(x):
     k AS (SELECT group_name, household_key FROM ({COHORT}) WHERE CAMPAIGN = 8)
     SELECT 8 AS CAMPAIGN, group_name, WEEK_NO, round(avg(sales), 6) AS mean_sales FROM (
       SELECT k.group_name, k.household_key, w.WEEK_NO, coalesce(sum(SALES_VALUE), 0) AS sales FROM k CROSS JOIN w
-      LEFT JOIN x_transactions t ON t.household_key = k.household_key AND t.WEEK_NO = w.WEEK_NO AND t.DAY < 820 GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+      LEFT JOIN x_transactions t ON t.household_key = k.household_key AND t.WEEK_NO = w.WEEK_NO AND t.DAY < 820 GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""")
 def weekly_trend(x):
     cohort = c.eligible_cohort(x["x_assignments"], x["x_campaigns"], x["x_transactions"], 8)
     return c.weekly_trend(cohort, x["x_transactions"], 820).withColumn("mean_sales", F.round("mean_sales", 6))
