@@ -11,15 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import raw_texts, release, spread, stored
+from basketry.llm.common import discard, raw_texts, release, spread, stored
 
 CLASSES, ROUNDS = 64, 2
-#: A chunk of coded texts ends when it has met this many words; two bytes then hold any of them.
-CHUNK_VOCABULARY = 60_000
+#: A chunk of coded texts ends when it has met this many words. Large chunks repeat fewer words in their vocabularies.
+CHUNK_VOCABULARY = 250_000
 #: Words that one task of the exchange step decides on.
 BUCKET_WORDS = 100_000
 #: Weight of the unigram class distribution in transitions, and of unseen words where counts say nothing.
@@ -35,6 +36,16 @@ _CODED_ARROW = pa.schema(
 )
 
 
+def _packed(ids: np.ndarray, width: int) -> bytes:
+    """Numbers with their bytes in planes, compressed: high bytes are nearly all zero."""
+    return zstandard.compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int32)
+
+
 def _code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of coded documents (`ids`) and rows of the words of their chunk with training counts (`word`, `local`, `n`)."""
     task, number = TaskContext.get().partitionId(), 0
@@ -50,7 +61,7 @@ def _code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n, key, np.int64)), pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.full(n, width, np.int32)),
-                pa.array([x.astype(f"<u{width}").tobytes() for x in coded], pa.binary()), *(pa.nulls(n, _CODED_ARROW.field(c).type) for c in ("word", "local", "n")),
+                pa.array([_packed(x, width) for x in coded], pa.binary()), *(pa.nulls(n, _CODED_ARROW.field(c).type) for c in ("word", "local", "n")),
             ],
             schema=_CODED_ARROW,
         )
@@ -97,7 +108,7 @@ def _table(right: pa.Table, name: str, missing: int) -> np.ndarray:
 
 def _texts(left: pa.Table) -> tuple[list[np.ndarray], list[bool]]:
     width = left.column("width")[0].as_py()
-    return [np.frombuffer(x, f"<u{width}").astype(np.int64) for x in left.column("ids").to_pylist()], left.column("held_out").to_pylist()
+    return [_unpacked(x, width) for x in left.column("ids").to_pylist()], left.column("held_out").to_pylist()
 
 
 def _contexts(classes: int, buckets: int):
@@ -108,10 +119,11 @@ def _contexts(classes: int, buckets: int):
         learnt = [x for x, h in zip(texts, held, strict=True) if not h]
         rows: dict[str, list] = {k: [] for k in ("bucket", "ids", "own", "size", "context", "count")}
         if learnt:
-            cls, ids = _table(right, "cls", -1), _table(right, "id", -1)
-            stream = np.concatenate((np.zeros(1, np.int64), *learnt))  # every text ends with the end word, which also stands before the first
+            cls, ids = _table(right, "cls", -1).astype(np.int32), _table(right, "id", -1)
+            stream = np.concatenate((np.zeros(1, np.int32), *learnt))  # every text ends with the end word, which also stands before the first
             before, after = stream[:-1], stream[1:]
-            keys = np.concatenate((before * (2 * classes) + cls[after], after * (2 * classes) + classes + cls[before]))
+            wide = np.int32 if len(ids) * 2 * classes < 1 << 31 else np.int64
+            keys = np.concatenate((before.astype(wide) * (2 * classes) + cls[after], after.astype(wide) * (2 * classes) + classes + cls[before]))
             keys, count = np.unique(keys, return_counts=True)
             word, context = keys // (2 * classes), (keys % (2 * classes)).astype(np.uint8)
             pairs = np.bincount(cls[before] * classes + cls[after], minlength=classes * classes).astype("<i8")
@@ -215,7 +227,7 @@ def _first_scores(classes: int, train: int, vocabulary: int, discount: float, of
         pairs = np.zeros((classes + 1) ** 2, np.int64)
         sequences = []
         for ids, out in zip(texts, held, strict=True):
-            seq = cls[np.concatenate((np.zeros(1, np.int64), ids))]
+            seq = cls[np.concatenate((np.zeros(1, np.int32), ids))]
             sequences.append(seq.astype(np.uint8).tobytes())
             if not out:
                 pairs += np.bincount(seq[:-1] * (classes + 1) + seq[1:], minlength=len(pairs))
@@ -269,6 +281,7 @@ def scores(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Dat
     found = vocabulary.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("train"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")
     ).first()
+    release(spark)
     train, types = found["train"], found["types"]
     discount = min(max(found["one"] / max(found["one"] + 2 * found["two"], 1), LEAST_DISCOUNT), 0.99)
     local = stored(words.join(vocabulary, "word", "left").select("chunk", "local", "id", "c"), "lm-chunk-words")
@@ -287,7 +300,9 @@ def scores(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Dat
         release(spark)
         pairs = _sum_pairs(met.filter("bucket < 0"), classes)
         moved = met.filter("bucket >= 0").groupBy("bucket").applyInArrow(_exchange(pairs), "id bigint, cls int")
-        member = stored(moved, "lm-classes")
+        before, member = member, stored(moved, "lm-classes")
+        discard(met)
+        discard(before)
         release(spark)
     of_class, kinds = np.zeros(classes), np.zeros(classes)
     for r in vocabulary.join(member, "id").groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # K rows
