@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,8 +24,17 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: what follows never runs its plan again, whatever executors are lost."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a `stored` table that no later step reads."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def words_of(text: Column) -> Column:
@@ -55,6 +65,11 @@ def spread(total: int, each: int) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more, between the steps of a long job."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, between the steps of a long job.
+
+    Spark's cleaner acts when the driver has collected its garbage; references from Python go first, so it takes two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from basketry.llm.common import raw_texts, spread, stored
+from basketry.llm.common import discard, raw_texts, release, spread, stored
 from basketry.llm.fm_index import FMIndex
 
 WIDTH, GRAM = 50, 8
@@ -47,12 +47,14 @@ def _bounds(words: list[bytes]) -> tuple[memoryview, np.ndarray]:
     return memoryview(b" ".join(words)), np.concatenate((np.zeros(1, np.int64), ends))
 
 
-def _digests(words: list[bytes], first: np.ndarray, last: np.ndarray, width: int) -> list[bytes]:
+def _digests(words: list[bytes], first: np.ndarray, last: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of pieces; with the minimizer, 128 bits tell pieces apart."""
     view, begins = _bounds(words)
-    return [xxh3_128_digest(view[a:b]) for a, b in zip(begins[first].tolist(), (begins[last + width] - 1).tolist(), strict=True)]
+    ranges = zip(begins[first].tolist(), (begins[last + width] - 1).tolist(), strict=True)
+    return np.fromiter((xxh3_64_intdigest(view[a:b], seed) for a, b in ranges), np.uint64, len(first)).view(np.int64)
 
 
-_PIECES = "doc_id bigint, tid bigint, mz bigint, first int, last int, digest binary"
+_PIECES = "doc_id bigint, tid bigint, mz bigint, first int, last int, digest bigint"
 _NAMES = ["doc_id", "tid", "mz", "first", "last", "digest"]
 
 
@@ -65,14 +67,14 @@ def _all_pieces(width: int):
                 for text in raw_texts(some):
                     words = (text or b"").split()
                     mz, first, last = pieces(words, width)
-                    found.append((mz, first, last, _digests(words, first, last, width) if len(mz) else []))
+                    found.append((mz, first, last, _digests(words, first, last, width) if len(mz) else mz))
                 times = [len(x[0]) for x in found]
                 row = pa.array(np.repeat(np.arange(len(found)), times))
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column("doc_id").take(row), some.column("tid").take(row), pa.array(np.concatenate([x[0] for x in found])),
                         pa.array(np.concatenate([x[1] for x in found]).astype(np.int32)), pa.array(np.concatenate([x[2] for x in found]).astype(np.int32)),
-                        pa.array([d for x in found for d in x[3]], pa.binary()),
+                        pa.array(np.concatenate([x[3] for x in found])),
                     ],
                     _NAMES,
                 )
@@ -81,7 +83,7 @@ def _all_pieces(width: int):
 
 
 def _single_windows(width: int):
-    """Pieces of one window each, their digest in place of the minimizer, for the listed ranges of windows."""
+    """Pieces of one window each, a second hash of it in place of the minimizer, for the listed ranges of windows."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -89,11 +91,10 @@ def _single_windows(width: int):
                 one = part.slice(at, 1)
                 words = raw_texts(one)[0].split()
                 places = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in one.column("own")[0].as_py()])
-                digests = _digests(words, places, places, width)
+                digests, keys = (pa.array(_digests(words, places, places, width, seed)) for seed in (0, 1))
                 n, spots = len(places), pa.array(places.astype(np.int32))
-                keys = pa.array(np.frombuffer(b"".join(digests), "<i8")[::2].copy())
                 ids = [pa.array(np.full(n, one.column(c)[0].as_py(), np.int64)) for c in ("doc_id", "tid")]
-                yield pa.RecordBatch.from_arrays([*ids, keys, spots, spots, pa.array(digests, pa.binary())], _NAMES)
+                yield pa.RecordBatch.from_arrays([*ids, keys, spots, spots, digests], _NAMES)
 
     return run
 
@@ -108,10 +109,10 @@ def _cut(width: int):
                 some = part.slice(at, 64)
                 for doc_id, text, own in zip(some.column("doc_id").to_pylist(), raw_texts(some), some.column("own").to_pylist(), strict=True):
                     view, begins = _bounds(text.split())
-                    rows += [(x["shard"], x["digest"], doc_id, bytes(view[begins[x["first"]] : begins[x["last"] + width] - 1])) for x in own]
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+                    rows += [(x["shard"], x["mz"], x["digest"], doc_id, bytes(view[begins[x["first"]] : begins[x["last"] + width] - 1])) for x in own]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "digest", "owner", "words"]
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "mz", "digest", "owner", "words"]
                 )
 
     return run
@@ -121,15 +122,15 @@ def _search(width: int):
     """Streams a shard's pieces through its index: ranges of windows with the smallest document that holds them."""
 
     def run(group: pa.Table) -> pa.Table:
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         kept, codes, text, owners = [], {}, [0], []
         starts, lengths = [], []
-        for digest, owner, raw in zip(group.column("digest").to_pylist(), group.column("owner").to_pylist(), group.column("words").to_pylist(), strict=True):
-            if digest in seen:
+        for mz, digest, owner, raw in zip(*(group.column(c).to_pylist() for c in ("mz", "digest", "owner", "words")), strict=True):
+            if (mz, digest) in seen:
                 continue
-            seen.add(digest)
+            seen.add((mz, digest))
             words = raw.split()
-            kept.append(digest)
+            kept.append((mz, digest))
             owners.append(owner)
             starts.append(len(text))
             lengths.append(len(words))
@@ -153,7 +154,7 @@ def _search(width: int):
         end = np.concatenate((begin[1:] - 1, [len(which) - 1]))
         return pa.table(
             {
-                "digest": pa.array([kept[i] for i in which[begin].tolist()], pa.binary()), "from_window": pa.array(window[begin].astype(np.int64)),
+                **{c: pa.array([kept[i][k] for i in which[begin].tolist()], pa.int64()) for k, c in enumerate(("mz", "digest"))}, "from_window": pa.array(window[begin].astype(np.int64)),
                 "to_window": pa.array(window[end].astype(np.int64)), "smallest": pa.array(smallest[begin]),
             }
         )
@@ -166,28 +167,35 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, shard_words: int = SHAR
 
     `tid` tells apart rows of the same doc_id; rows equal in both are one. Rows without doc_id take no part.
     """
+    spark = docs.sparkSession
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     every = stored(named.select("doc_id", "tid", "text").mapInArrow(_all_pieces(width), _PIECES), "pieces")
     # a minimizer of one document only can't repeat; repeated rows of a document don't count
     shared = every.groupBy("mz").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mz")
     some = stored(every.join(shared, "mz").select(*_NAMES), "shared-pieces")
+    discard(every)
+    release(spark)
     size = F.col("last") - F.col("first") + width
-    distinct = some.groupBy("mz", "digest").agg(F.max(size).alias("n"))
-    hot = stored(distinct.groupBy("mz").agg(F.sum("n").alias("n")).filter(F.col("n") > shard_words).select("mz"), "hot-minimizers")
+    owner = F.min(F.struct("doc_id", "tid", "first", "last")).alias("o")
+    distinct = lambda rows: stored(rows.groupBy("mz", "digest").agg(owner).select("mz", "digest", "o.*"), "contents")
+    contents = distinct(some)
+    hot = stored(contents.groupBy("mz").agg(F.sum(size).alias("n")).filter(F.col("n") > shard_words).select("mz"), "hot-minimizers")
     if not hot.isEmpty():  # too many different pieces around one minimizer: their windows go by their own digests
         cut = some.join(hot, "mz", "left_semi").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "last")).alias("own"))
         texts = named.select("doc_id", "tid", "text").join(cut, ["doc_id", "tid"])
         some = stored(some.join(hot, "mz", "left_anti").unionByName(texts.mapInArrow(_single_windows(width), _PIECES)), "split-pieces")
-    owner = F.min(F.struct("doc_id", "tid", "first", "last")).alias("o")
-    contents = stored(some.groupBy("mz", "digest").agg(owner).select("mz", "digest", "o.*"), "contents")
+        contents = distinct(some)
+    release(spark)
     total = contents.agg(F.sum(size)).first()[0] or 0
     # of a shard's minimizers none is large, so a shard stays near its size
     homes = contents.withColumn("shard", F.pmod(F.xxhash64("mz"), F.lit(spread(total, shard_words))))
-    own = homes.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "last", "digest", "shard")).alias("own"))
+    own = homes.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("mz", "first", "last", "digest", "shard")).alias("own"))
     texts = named.select("doc_id", "tid", "text").join(own, ["doc_id", "tid"])
-    cut = texts.mapInArrow(_cut(width), "shard bigint, digest binary, owner bigint, words binary")
-    found = cut.groupBy("shard").applyInArrow(_search(width), "digest binary, from_window bigint, to_window bigint, smallest bigint")
-    hits = some.select("doc_id", "tid", "first", "digest").join(stored(found, "matches"), "digest").filter("smallest < doc_id")
+    cut = texts.mapInArrow(_cut(width), "shard bigint, mz bigint, digest bigint, owner bigint, words binary")
+    found = cut.groupBy("shard").applyInArrow(_search(width), "mz bigint, digest bigint, from_window bigint, to_window bigint, smallest bigint")
+    found = stored(found, "matches")
+    release(spark)
+    hits = some.select("doc_id", "tid", "first", "mz", "digest").join(found, ["mz", "digest"]).filter("smallest < doc_id")
     span = F.struct((F.col("first") + F.col("from_window")).alias("a"), (F.col("first") + F.col("to_window") + width).alias("b"))
     return hits.groupBy("doc_id", "tid").agg(F.collect_set(span).alias("ranges"))
 
