@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from basketry.llm.common import raw_texts, spread, stored
 from basketry.llm.components import components
+from basketry.llm.near import keep_one, shingles  # noqa: F401
 
 RADIUS = 3
 #: Variants that one task of the collision search holds, about ten bytes each.
@@ -22,19 +22,10 @@ _ONE = np.uint64(1)
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
     """64-bit SimHash over `width`-word shingles, repeats included; zero without words."""
-    words = (text or b"").lower().split()
-    n = len(words)
-    if not n:
+    hashes = shingles(text, width)
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    if n <= width:
-        hashes = [xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - width] + 1)).tolist()
-        view = memoryview(joined)
-        hashes = [xxh64_intdigest(view[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -153,11 +144,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; of repeated doc_ids one row. Rows without doc_id stay."""
-    classes = near_duplicates(docs)
-    heads = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
