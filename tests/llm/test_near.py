@@ -79,6 +79,15 @@ def test_links_of_large_groups_are_whole(spark):
     assert root == {c: 100 if c < 200 else 200 for c in own if c >= 100}
 
 
+def test_rows_that_share_a_doc_id_are_judged_by_their_text(spark, none):
+    a, b = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight")
+    rows = [(1, a, "en", "x"), (1, b, "en", "x"), (1, b, "en", "y"), (2, b, "en", "x"), (None, b, "en", "x"), (1, a, "en", "x")]
+    got = near.keep_one(spark.createDataFrame(rows, none.schema)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, b), (1, a), (1, b)])
+    again = near.keep_one(spark.createDataFrame(rows[::-1], none.schema)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
 def test_pairs_just_above_the_limit_share_a_band():
     draw = random.Random(11)
     missed = 0

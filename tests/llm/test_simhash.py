@@ -56,7 +56,7 @@ def test_odd_rows(odd, none, clashing):
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.keep_one(clashing)
     assert kept.columns == clashing.columns
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == [-3, 1, 3, 6, 7, 8, 9] or kept.count() > 0
+    assert sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == [-3, 1, 3, 6, 8, 9]
     assert kept.filter("doc_id = 2").count() == 0 and kept.filter("doc_id IS NULL").count() == 2
 
 
