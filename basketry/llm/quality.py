@@ -19,10 +19,14 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "[#*$%&|<>]"
 #: Rows a group needs for cutoffs of its own; smaller ones take those of the language, then those of all.
 MIN_GROUP = 100
-#: A cutoff lies this many times the distance from the median to the 10th or 90th percentile beyond the median.
-REACH = 8
+#: A cutoff lies this many times the distance from the median to the nearer quartile beyond the median. Junk on one side moves one
+#: quartile only, so up to half of a group may be junk. Of a normal distribution these are ten standard deviations.
+REACH = 15
+#: A group's cutoff lies at most this many times the reach of its language's sketch beyond the language's median.
+WIDE = 2
 #: Measures with the least distance from the median (in the measure's unit) that a cutoff keeps, and the sides it cuts.
 MEASURES = {"symbol_permille": (25, "high"), "dup_line_permille": (450, "high"), "repeat_permille": (300, "high"), "word_tenths": (20, "both")}
+SIDES = ("low", "high", "far_low", "far_high")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -89,7 +93,9 @@ def merge(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def cutoffs(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, n, low_<measure>, high_<measure>): cutoffs of every group, read from its sketch.
+    """(keys, n, low_<measure>, high_<measure>, far_low_<measure>, far_high_<measure>): cutoffs of every group, read from its sketch.
+
+    The far ones bound the cutoffs of finer groups.
 
     The bins of one group and measure, a few hundred at most, are one array; a percentile is the first bin at which
     the running count reaches its share.
@@ -104,15 +110,18 @@ def cutoffs(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             f"100 * (a.s + x.n) >= {percent} * n THEN x.bin ELSE a.v END AS v), a -> a.v)"
         )
 
-    read = bins.select(*keys, "measure", "n", *(F.expr(at(p)).alias(f"p{p}") for p in (10, 50, 90)))
+    read = bins.select(*keys, "measure", "n", *(F.expr(at(p)).alias(f"p{p}") for p in (25, 50, 75)))
     least = reduce(lambda c, m: c.when(F.col("measure") == m, MEASURES[m][0]), MEASURES, F.when(F.lit(False), 0))
-    wide = read.withColumn("least", least).withColumns(
+    reach = F.greatest(F.lit(REACH) * F.least(F.col("p50") - F.col("p25"), F.col("p75") - F.col("p50")), least)
+    wide = read.withColumn("reach", reach).withColumns(
         {
-            "high": F.col("p50") + F.greatest(F.lit(REACH) * (F.col("p90") - F.col("p50")), F.col("least")),
-            "low": F.col("p50") - F.greatest(F.lit(REACH) * (F.col("p50") - F.col("p10")), F.col("least")),
+            "high": F.col("p50") + F.col("reach"),
+            "low": F.col("p50") - F.col("reach"),
+            "far_high": F.col("p50") + F.lit(WIDE) * F.col("reach"),
+            "far_low": F.col("p50") - F.lit(WIDE) * F.col("reach"),
         }
     )
-    picks = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")]
+    picks = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in SIDES]
     return wide.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
@@ -120,12 +129,13 @@ def judged(rows: DataFrame) -> DataFrame:
     """`measured` rows with `q_kept`: the fixed rules hold and no measure lies beyond the cutoffs of its group.
 
     A row takes the cutoffs of its (lang, source) if at least MIN_GROUP rows made them, else those of its language on the same
-    condition, else those of all rows. Nulls of lang and source are groups of their own. A table without a row
+    condition, else those of all rows. None of them lies beyond the far cutoff of the language (under MIN_GROUP rows: of all
+    rows), so a group that is mostly junk can't set its own rule. Nulls of lang and source are groups of their own. A table without a row
     that passes the fixed rules has no cutoffs and keeps nothing.
     """
     fine = stored(sketches(rows), "quality-sketches")
     by_lang = merge(fine, ("lang",))
-    sides = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
+    sides = [f"{side}_{m}" for m in MEASURES for side in SIDES]
     levels = [("g", fine, ("lang", "source")), ("l", by_lang, ("lang",)), ("a", merge(by_lang, ()), ())]
     df = rows
     for tag, sketch, keys in levels:
@@ -138,9 +148,10 @@ def judged(rows: DataFrame) -> DataFrame:
     for m, (_, cuts) in MEASURES.items():
         value = F.col(f"q_{m}")
         first = {side: F.coalesce(*(F.col(f"{tag}_{side}_{m}") for tag, _, _ in levels)) for side in ("low", "high")}
-        kept = kept & (value <= first["high"])
+        far = {side: F.coalesce(*(F.col(f"{tag}_far_{side}_{m}") for tag, _, _ in levels[1:])) for side in ("low", "high")}
+        kept = kept & (value <= F.least(first["high"], far["high"]))
         if cuts == "both":
-            kept = kept & (value >= first["low"])
+            kept = kept & (value >= F.greatest(first["low"], far["low"]))
     return df.select(*rows.columns, F.coalesce(kept, F.lit(False)).alias("q_kept"))
 
 

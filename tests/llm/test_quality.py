@@ -1,4 +1,5 @@
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 from basketry.llm import quality
@@ -45,3 +46,34 @@ def test_filter_keeps_rows_as_they_are(clashing):
     kept = quality.keep_good(clashing)
     assert kept.columns == clashing.columns
     assert kept.exceptAll(clashing).count() == 0
+
+
+def ordinary(i):
+    """120 words without symbols or repeats, on four lines."""
+    w = [f"word{(i * 7 + j * (1, 3, 7, 9, 11)[i % 5]) % 400:03d}" for j in range(120)]
+    return "\n".join(" ".join(w[k : k + 30]) for k in range(0, 120, 30))
+
+
+JUNK = {
+    "symbols": lambda i: " ".join(f"{w}##" for w in ordinary(i).split()),
+    "lines": lambda i: "\n".join([ordinary(i)] + ["x"] * 14),
+    "long words": lambda i: " ".join(w * 4 for w in ordinary(i).split()),
+    "short words": lambda i: " ".join(chr(97 + j % 26) + chr(97 + (i + j // 26) % 26) for j in range(120)),
+}
+
+
+@pytest.mark.parametrize("kind", JUNK)
+def test_junk_in_a_group_does_not_raise_its_own_cutoff(spark, none, kind):
+    """Groups of 200 rows with 0, 10, 30 and 45% junk: all junk goes, all else stays."""
+    rows = [(s * 1000 + i, JUNK[kind](i) if i < 2 * s else ordinary(i), "en", f"s{s}") for s in (0, 10, 30, 45) for i in range(200)]
+    got = quality.verdicts(spark.createDataFrame(rows, none.schema)).collect()
+    assert len(got) == 800 and not any(r["base_failed"] for r in got)
+    assert [r["doc_id"] for r in got if r["kept"] == (r["doc_id"] % 1000 < 2 * (r["doc_id"] // 1000))] == []
+
+
+@pytest.mark.parametrize("kind", ["symbols", "long words", "short words"])
+def test_a_group_that_is_mostly_junk_is_bounded_by_its_language(spark, none, kind):
+    rows = [(i, JUNK[kind](i) if i < 120 else ordinary(i), "en", "mostly junk") for i in range(200)]
+    rows += [(1000 + i, ordinary(i), "en", "clean") for i in range(400)]
+    got = {r["doc_id"] for r in quality.verdicts(spark.createDataFrame(rows, none.schema)).collect() if r["kept"]}
+    assert not got & set(range(120)) and got >= set(range(1000, 1400))
