@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import brown, chat, decontaminate, licenses, mixing, quality, simhash, substrings, tokens, url_filters
+from basketry.llm import brown, chat, decontaminate, licenses, mixing, periodic_runs, quality, simhash, substrings, suffix_dedup, tokens, url_filters, vector_codes
 from basketry.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,23 @@ def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(stored(chat.samples(turns), "chat-samples"))
 
 
+def op11_anchor_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.encoded(read(spark, folder, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.detected(read(spark, folder, "documents"), planted=True)
+
+
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicated(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_brown_lm, op2_url_list_asof, op3_license_patience, op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op7_fm_substrings, op8_template_decontamination, op9_adaptive_quality, op10_chat_windows)
+    f.__name__: f
+    for f in (
+        op1_brown_lm, op2_url_list_asof, op3_license_patience, op4_simhash_balls, op5_pivotal_mix, op6_elias_fano, op7_fm_substrings,
+        op8_template_decontamination, op9_adaptive_quality, op10_chat_windows, op11_anchor_codes, op12_periodic_runs, op13_suffix_dedup,
+    )
 }
-ORACLES: dict[str, str] = {"op2_url_list_asof": url_filters.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_list_asof": url_filters.ORACLE, "op11_anchor_codes": vector_codes.ORACLE}
