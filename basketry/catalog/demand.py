@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.catalog import query
 from basketry.plans import demand as d
+from basketry.plans import smoothing
 
 START, TRAIN_END, VALID_END, END = "1996-01-01", "2000-06-30", "2000-12-31", "2001-06-30"
 BOUNDS = {"train": (START, TRAIN_END), "validation": ("2000-07-01", VALID_END), "test": ("2001-01-01", END)}
@@ -169,7 +170,8 @@ def weekday_adjusted(x):
 
 @query("exponential_smoothing", "L11")
 def exponential_smoothing(x):
-    df = d.smoothing_backtest(_train(x), HORIZON, by="order_status")
+    fits = x.stored(smoothing.smoothing_fits(_train(x), "order_count", d.SMOOTHING, "order_status"), "smoothing-fits")
+    df = smoothing.smoothing_forecasts(fits, HORIZON)
     actual = _valid(x).select("order_status", "date", F.col("order_count").cast("double").alias("actual"))
     return d.forecast_errors(df.join(actual, ["order_status", "date"]), ["order_status", "model"])
 
@@ -227,7 +229,7 @@ def _feature_splits(x):
 @query("demand_trees", "L15")
 def demand_trees(x):
     train, valid, _ = _feature_splits(x)
-    model = d.fit_demand_trees(train, rounds=10, rate=0.2)
+    model = d.fit_demand_trees(train)
     scored = d.predict_demand(model, valid).withColumn("actual", F.col("order_count").cast("double"))
     errors = d.forecast_errors(scored, "order_status").select(F.col("order_status").alias("entry"), F.col("mae").alias("value"))
     return errors.unionByName(d.importances(model, valid).select(F.col("feature").alias("entry"), F.col("importance").alias("value")))
@@ -236,22 +238,21 @@ def demand_trees(x):
 @query("demand_sweep", "L16")
 def demand_sweep(x):
     train, valid, _ = _feature_splits(x)
-    grid = {name: {"features": cols, "rounds": 5, "rate": 0.2} for name, cols in d.FEATURE_SETS.items()}
-    grid |= {name: {**options, "rounds": 5, "rate": 0.2} for name, options in d.PARAMETER_GRID.items()}
-    return d.sweep(grid, train, valid)
+    grid = {name: {"features": cols} for name, cols in d.FEATURE_SETS.items()}
+    return d.sweep(grid | d.PARAMETER_GRID, train, valid)
 
 
 @query("demand_early_stopping", "L16")
 def demand_early_stopping(x):
     train, valid, _ = _feature_splits(x)
-    return d.early_stopping(train, valid, patience=(2, 4, 6), rounds=15, rate=0.2)
+    return d.early_stopping(train, valid)
 
 
 @query("demand_final", "L14 L16")
 def demand_final(x):
     """Refit on train and validation, compare with the baselines on the test days."""
     train, valid, test = _feature_splits(x)
-    model = d.fit_demand_trees(train.unionByName(valid), rounds=10, rate=0.2)
+    model = d.fit_demand_trees(train.unionByName(valid), rounds=131)
     trees = d.predict_demand(model, test).select("order_status", "date", F.lit("boosted_trees").alias("model"), F.col("order_count").cast("double").alias("actual"), "prediction")
     base = d.predictions_long(d.baselines(x.daily_by_status, "order_status"), d.BASELINES, ["order_status", "date"])
     days = test.select("order_status", "date")

@@ -241,5 +241,5 @@ def reduced_logistic(x):
 @query("tree_classifier", "M10")
 def tree_classifier(x):
     train, valid, _ = _splits(x)
-    model = models.fit_tree_classifier(train, r.FEATURES, Y, rounds=5)
+    model = models.fit_tree_classifier(train, r.FEATURES, Y)
     return m.lift_table(models.scored(model, valid), P, Y, ID, (0.01, 0.02, 0.05, 0.10, 0.20))

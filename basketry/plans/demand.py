@@ -7,11 +7,7 @@ per day, which bounds each window and each collected series by the calendar.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +18,8 @@ from basketry.operators.joins import fill_calendar
 from basketry.operators.ordering import as_list, join_groups, with_group_total
 from basketry.operators.topk import top_n
 from basketry.operators.windows import add_lags, add_trailing, time_index
+from basketry.plans import boosting
+from basketry.plans.boosting import BoostedTrees, Options
 
 VALUE = "order_count"
 LAGS = [1, 2, 3, 7, 14, 21, 28]
@@ -380,62 +378,46 @@ def champion_table(errors: DataFrame, reference: str = "naive", by: str | Sequen
     return table.withColumn("mae_vs_reference_pct", relative).drop("__base").orderBy(*by, "mae", "model")
 
 
-def fit_demand_trees(
-    train: DataFrame,
-    features: Sequence[str] = tuple(ALL_FEATURES),
-    rounds: int = 100,
-    depth: int = 5,
-    child_weight: int = 5,
-    rate: float = 0.03,
-    validation: str | None = None,
-    seed: int = 42,
-) -> PipelineModel:
-    """Boosted regression trees; `validation` names a boolean column of rows used for early stopping only."""
-    trees = GBTRegressor(
-        featuresCol="features", labelCol=VALUE, maxIter=rounds, maxDepth=depth, minInstancesPerNode=child_weight,
-        stepSize=rate, subsamplingRate=0.8, seed=seed,
-    )
-    if validation:
-        trees = trees.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), trees]).fit(train)
+def tree_options(
+    features: Sequence[str] = tuple(ALL_FEATURES), rounds: int = 500, depth: int = 5, child_weight: int = 5, rate: float = 0.03,
+    patience: int | None = None, seed: int = 42,
+) -> Options:
+    """How a demand model is fitted."""
+    return Options(tuple(features), rounds, depth, child_weight, rate, patience=patience, seed=seed)
+
 
+def fit_demand_trees(train: DataFrame, valid: DataFrame | None = None, **options) -> BoostedTrees:
+    """Boosted regression trees with the settings of `tree_options`; `valid` rows give the error per round and, with `patience`, the stop."""
+    return boosting.fit(train, VALUE, tree_options(**options), held=valid)
 
-def predict_demand(model: PipelineModel, df: DataFrame) -> DataFrame:
+
+def predict_demand(model: BoostedTrees, df: DataFrame, trees: int | None = None) -> DataFrame:
     """Predictions floored at zero."""
-    return model.transform(df).withColumn("prediction", F.greatest("prediction", F.lit(0.0))).drop("features")
+    return model.transform(df, trees).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
 
 
-def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
+def importances(model: BoostedTrees, df: DataFrame) -> DataFrame:
     """Feature importance per column: a handful of numbers of the fitted model."""
-    names = model.stages[0].getInputCols()
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    return df.sparkSession.createDataFrame(list(zip(names, values)), "feature string, importance double")
+    return df.sparkSession.createDataFrame(list(model.importances().items()), "feature string, importance double")
 
 
-def sweep(grid: Mapping[str, Mapping], train: DataFrame, valid: DataFrame) -> DataFrame:
-    """One row per experiment: train and validation error. An experiment is a set of `fit_demand_trees` arguments."""
-    rows = []
+def _split_errors(models: Mapping[str, tuple[BoostedTrees, int | None]], train: DataFrame, valid: DataFrame) -> DataFrame:
+    """One row per model: train and validation error."""
     both = train.withColumn("__split", F.lit("train")).unionByName(valid.withColumn("__split", F.lit("validation")))
-    for name, options in grid.items():
-        fit_on = train
-        if options.get("validation"):
-            fit_on = both.withColumn(options["validation"], F.col("__split") == "validation")
-        model = fit_demand_trees(fit_on, **options)
-        used = model.stages[-1].getNumTrees
-        scored = predict_demand(model, both).withColumn("actual", F.col(VALUE).cast("double"))
-        errors = forecast_errors(scored, "__split")
-        row = errors.groupBy().pivot("__split", ["train", "validation"]).agg(
-            F.first("mae").alias("mae"), F.first("rmse").alias("rmse")
-        )
-        rows.append(
-            row.select(
-                F.lit(name).alias("experiment"),
-                F.lit(len(options.get("features", ALL_FEATURES))).alias("feature_count"),
-                F.lit(used).alias("trees"),
-                "train_mae", "train_rmse", "validation_mae", "validation_rmse",
-            )
-        )
-    return reduce(DataFrame.unionByName, rows).orderBy("validation_mae", "experiment")
+    scored = boosting.predictions(models, both, ["__split", F.col(VALUE).cast("double").alias("actual")])
+    errors = forecast_errors(scored.withColumn("prediction", F.greatest("prediction", F.lit(0.0))), ["model", "__split"])
+    return errors.groupBy("model").pivot("__split", ["train", "validation"]).agg(F.first("mae").alias("mae"), F.first("rmse").alias("rmse"))
+
+
+def sweep(grid: Mapping[str, Mapping], train: DataFrame, valid: DataFrame) -> DataFrame:
+    """One row per experiment: train and validation error. An experiment is a set of `tree_options` arguments; all are fitted side by side."""
+    options = [tree_options(**o) for o in grid.values()]
+    models = boosting.fit_all(train, VALUE, options)
+    facts = train.sparkSession.createDataFrame(
+        [(name, len(o.features), len(m.trees)) for name, o, m in zip(grid, options, models)], "experiment string, feature_count int, trees int"
+    )
+    errors = _split_errors({name: (m, None) for name, m in zip(grid, models)}, train, valid).withColumnRenamed("model", "experiment")
+    return F.broadcast(facts).join(errors, "experiment").orderBy("validation_mae", "experiment")
 
 
 # Experiments of the parameter sweep.
@@ -450,24 +432,24 @@ PARAMETER_GRID = {
 
 
 def early_stopping(
-    train: DataFrame, valid: DataFrame, patience: Sequence[int] = (20, 40, 60, 80), rounds: int = 200, **options
+    train: DataFrame, valid: DataFrame, patience: Sequence[int] = (20, 40, 60, 80), rounds: int = 1000, **options
 ) -> DataFrame:
-    """Best number of trees per patience: the last improvement before `patience` rounds pass without one.
+    """Best number of trees per patience: the last improvement before `patience` rounds pass without one, and the errors with these trees.
 
-    One model is fitted; its error per round (a short list) answers for every patience.
+    One model is fitted, with the longest patience; its error per round (a short list) answers for the others.
     """
-    model = fit_demand_trees(train, rounds=rounds, **options)
-    trees = model.stages[-1]
-    curve = trees.evaluateEachIteration(model.stages[0].transform(valid), "absolute")
-    rows = []
+    model = fit_demand_trees(train, valid, rounds=rounds, patience=max(patience), **options)
+    best = {}
     for wait in patience:
-        best = 0
-        for at, error in enumerate(curve):
-            if error < curve[best]:
-                best = at
-            elif at - best >= wait:
+        best[wait] = 0
+        for at, error in enumerate(model.curve):
+            if error < model.curve[best[wait]]:
+                best[wait] = at
+            elif at - best[wait] >= wait:
                 break
-        rows.append((f"early_stop_{wait}", wait, best, float(curve[best])))
-    return valid.sparkSession.createDataFrame(
-        rows, "experiment string, early_stopping_rounds int, best_iteration int, validation_mae double"
+    facts = valid.sparkSession.createDataFrame(
+        [(f"early_stop_{w}", w, at, float(model.curve[at])) for w, at in best.items()],
+        "experiment string, early_stopping_rounds int, best_iteration int, best_score double",
     )
+    errors = _split_errors({f"early_stop_{w}": (model, at + 1) for w, at in best.items()}, train, valid).withColumnRenamed("model", "experiment")
+    return F.broadcast(facts).join(errors, "experiment").orderBy("early_stopping_rounds")

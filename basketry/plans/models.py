@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -20,9 +17,11 @@ from basketry.functions.values import pct
 from basketry.operators.joins import has_repeats
 from basketry.operators.ordering import quantile_columns, with_group_total
 from basketry.operators.topk import sort
-from basketry.plans import metrics
+from basketry.plans import boosting, clustering, metrics
+from basketry.plans.boosting import BoostedTrees, Options
+from basketry.plans.clustering import Centres, Start
 from basketry.plans.retention import KEY, SNAPSHOT
-from basketry.session import cut_lineage
+from basketry.session import cut_lineage, discard
 
 SCORE = "repeat_purchase_probability"
 
@@ -59,53 +58,36 @@ def impute_median(df: DataFrame, cols: Sequence[str], **limits: int) -> DataFram
     return df.crossJoin(F.broadcast(medians)).withColumns(filled).drop(*[f"__md_{c}" for c in cols])
 
 
-def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    scaled = standardize(df, cols)
-    return VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(scaled).drop(
-        *[f"z_{c}" for c in cols]
-    )
-
+def _scaled(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The table with standardized columns, and these as an array."""
+    return standardize(df, cols), F.array(*[F.col(f"z_{c}") for c in cols])
 
-def best_kmeans(
-    vectors: DataFrame, k: int, seeds: Sequence[int], name: str = "cluster_id", max_iter: int = 50
-) -> KMeansModel:
-    """The start with the least within-cluster sum of squares. Starts are independent, so a few are fitted at a time."""
-    def fit(seed: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol=name).fit(vectors)
 
-    with ThreadPoolExecutor(4) as pool:
-        return min(pool.map(fit, seeds), key=lambda m: m.summary.trainingCost)
+def _labelled(df: DataFrame, cols: Sequence[str], fit: Centres, name: str) -> DataFrame:
+    scaled, vector = _scaled(df, cols)
+    return scaled.withColumn(name, fit.label(vector)).drop(*[f"z_{c}" for c in cols])
 
 
 def fit_kmeans(
     df: DataFrame, cols: Sequence[str], k: int, seeds: Sequence[int] = tuple(range(20))
-) -> tuple[KMeansModel, DataFrame]:
+) -> tuple[Centres, DataFrame]:
     """K-means on standardized columns, best of several starts; returns the model and the labelled rows."""
-    vectors = _vectors(df, cols).persist()
-    try:
-        model = best_kmeans(vectors, k, seeds)
-    finally:
-        vectors.unpersist()
-    return model, model.transform(_vectors(df, cols)).drop("features")
+    (model,), _ = clustering.best_of(*_scaled(df, cols), [Start(k, s) for s in seeds])
+    return model, _labelled(df, cols, model, "cluster_id")
 
 
 def kmeans_sweep(
     df: DataFrame, spaces: Mapping[str, Sequence[str]], ks: Sequence[int] = tuple(range(2, 9)), seeds: Sequence[int] = tuple(range(20))
 ) -> DataFrame:
-    """Per feature space and k: inertia, silhouette, smallest and largest cluster in percent."""
+    """Per feature space and k: inertia, silhouette, smallest and largest cluster in percent. All spaces, k and starts are fitted together."""
+    cols = list(dict.fromkeys(c for own in spaces.values() for c in own))
+    dims = {name: tuple(cols.index(c) for c in own) for name, own in spaces.items()}
+    starts = [Start(k, s, dims[name]) for name in spaces for k in ks for s in seeds]
+    fits, scores = clustering.best_of(*_scaled(df, cols), starts)
     rows = []
-    for name, cols in spaces.items():
-        vectors = _vectors(df, cols).select("features").persist()
-        for k in ks:
-            model = best_kmeans(vectors, k, seeds)
-            scored = model.transform(vectors)
-            silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id").evaluate(scored)
-            sizes = model.summary.clusterSizes
-            rows.append(
-                (name, k, float(model.summary.trainingCost), float(silhouette),
-                 100.0 * min(sizes) / sum(sizes), 100.0 * max(sizes) / sum(sizes))
-            )
-        vectors.unpersist()
+    for (name, k), fit, silhouette in zip([(n, k) for n in spaces for k in ks], fits, scores, strict=True):
+        sizes = fit.sizes
+        rows.append((name, k, fit.inertia, silhouette, float(100.0 * sizes.min() / sizes.sum()), float(100.0 * sizes.max() / sizes.sum())))
     return df.sparkSession.createDataFrame(
         rows,
         "feature_space string, k int, inertia double, silhouette double, smallest_cluster_pct double, largest_cluster_pct double",
@@ -115,13 +97,14 @@ def kmeans_sweep(
 def cluster_stability(
     df: DataFrame, cols: Sequence[str], id: str, k: int = 4, seeds: Sequence[int] = (7, 21, 42, 100, 2026), starts: int = 20
 ) -> DataFrame:
-    """Adjusted Rand index of every pair of runs with different seeds. All labels sit on one table."""
-    vectors = _vectors(df, cols).select(id, "features").persist()
-    labelled = vectors
-    for seed in seeds:
-        model = best_kmeans(vectors, k, [seed + i for i in range(starts)])
-        model.setPredictionCol(f"run_{seed}")
-        labelled = model.transform(labelled)
+    """Adjusted Rand index of every pair of runs with different seeds. All runs are fitted together, and all labels sit on one table."""
+    scaled, vector = _scaled(df, cols)
+    points = clustering.with_points(scaled, vector)
+    fits = clustering.fit_starts(points, [Start(k, seed + i) for seed in seeds for i in range(starts)])
+    discard(points)
+    best = [min(fits[n * starts : (n + 1) * starts], key=lambda f: f.inertia) for n in range(len(seeds))]
+    labelled = scaled.select(id, *[fit.label(vector).alias(f"run_{seed}") for seed, fit in zip(seeds, best, strict=True)])
+    labelled = cut_lineage(labelled)
     pairs = [
         metrics.adjusted_rand(labelled, f"run_{a}", f"run_{b}").select(
             F.lit(a).alias("seed_a"), F.lit(b).alias("seed_b"), "adjusted_rand"
@@ -158,23 +141,18 @@ def fit_logistic(
 
 def fit_tree_classifier(
     df: DataFrame, cols: Sequence[str], target: str, rounds: int = 300, depth: int = 4, rate: float = 0.05, seed: int = 42
-) -> PipelineModel:
+) -> BoostedTrees:
     """Boosted trees; positives carry the weight negatives / positives."""
-    counted = with_group_total(df, None, {"__n": F.count(F.lit(1)), "__p": F.count_if(F.col(target) == 1)})
-    weight = F.when(F.col(target) == 1, (F.col("__n") - F.col("__p")) / F.col("__p")).otherwise(F.lit(1.0))
-    weighted = counted.withColumn("class_weight", weight)
-    trees = GBTClassifier(
-        featuresCol="features", labelCol=target, weightCol="class_weight", maxIter=rounds, maxDepth=depth, stepSize=rate,
-        minInstancesPerNode=5, subsamplingRate=0.8, seed=seed,
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features"), trees]).fit(weighted)
+    row = df.agg(F.count(F.col(target)).alias("n"), F.count_if(F.col(target) == 1).alias("p")).first()
+    weight = F.when(F.col(target) == 1, F.lit((row["n"] - row["p"]) / max(row["p"], 1))).otherwise(F.lit(1.0))
+    return boosting.fit(df, target, Options(tuple(cols), rounds, depth, rate=rate, seed=seed), logistic=True, weight=weight)
 
 
 def positive_probability() -> Column:
     return vector_to_array("probability")[1]
 
 
-def scored(model: PipelineModel, df: DataFrame, name: str = SCORE) -> DataFrame:
+def scored(model: PipelineModel | BoostedTrees, df: DataFrame, name: str = SCORE) -> DataFrame:
     """The input columns and the probability of the positive class."""
     return model.transform(df).select(*df.columns, positive_probability().alias(name))
 
@@ -204,7 +182,7 @@ def score_population(model: PipelineModel, df: DataFrame, features: Sequence[str
 
 
 def benchmark_models(
-    models: Mapping[str, PipelineModel], splits: Mapping[str, DataFrame], target: str, id: str,
+    models: Mapping[str, PipelineModel | BoostedTrees], splits: Mapping[str, DataFrame], target: str, id: str,
     capacities: Sequence[float] = (0.01, 0.02, 0.05, 0.10, 0.20), bins: int = 10,
 ) -> DataFrame:
     """One row per model and split: AUC, average precision, Brier, calibration gap, and precision, recall, lift per capacity.

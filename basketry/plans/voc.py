@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +16,8 @@ from basketry.operators.ordering import join_groups, quantile_columns, with_grou
 from basketry.operators.sets import union_all
 from basketry.operators.topk import top_n_per_group
 from basketry.operators.windows import add_trailing, period_change
-from basketry.plans.models import best_kmeans
+from basketry.plans import clustering
+from basketry.plans.clustering import Start
 
 # Analyst names of the themes.
 THEME_NAMES = {
@@ -75,21 +75,11 @@ def discover_themes(
     starts: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
     """K-means per k on the embedding column, best of `starts`; returns (labelled rows of the best silhouette, one row per k)."""
-    vectors = df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>"))).persist()
-    results, best = [], None
-    try:
-        for k in ks:
-            model = best_kmeans(vectors, k, range(seed, seed + starts), name, max_iter=100)
-            silhouette = ClusteringEvaluator(predictionCol=name).evaluate(model.transform(vectors))
-            sizes = model.summary.clusterSizes
-            results.append((k, float(silhouette), int(min(sizes)), int(max(sizes))))
-            if best is None or silhouette > best[0]:
-                best = (silhouette, model)
-    finally:
-        vectors.unpersist()
-    labelled = best[1].transform(df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>"))))
+    fits, scores = clustering.best_of(df, F.col(vec), [Start(k, seed + i) for k in ks for i in range(starts)], max_iter=100)
+    results = [(k, s, int(f.sizes.min()), int(f.sizes.max())) for k, f, s in zip(ks, fits, scores, strict=True)]
+    best = fits[max(range(len(fits)), key=lambda i: scores[i])]
     table = df.sparkSession.createDataFrame(results, "k int, silhouette double, smallest_cluster long, largest_cluster long")
-    return labelled.drop("features"), table
+    return df.withColumn(name, best.label(F.col(vec))), table
 
 
 def theme_profile(reviews: DataFrame, label: str = "semantic_theme_cluster") -> DataFrame:

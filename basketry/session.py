@@ -46,6 +46,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """`df` written once to the shared folder and read back, so that lost executors never re-evaluate it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a `stored` table that nothing reads any more."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _at_exit(spark: SparkSession, files, place) -> None:
     """Hadoop removes `place` at the end of the JVM; it only notes paths that exist, so the folder is made for a moment."""
     files.mkdirs(place)
