@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, list[str]] = {}
+#: The texts as given, for texts that build on others.
+TEXTS: dict[str, str] = {}
 
 SECTIONS = [
     "io", "cleaning", "joining", "aggregating", "ordering", "quality", "marts", "retention", "demand", "modelling", "text", "decisions",
@@ -29,6 +31,7 @@ def query(name: str, covers: str, sql: str | None = None):
         QUERIES[name] = lambda spark, folder: fn(Inputs(spark, folder))
         COVERS[name] = covers.split()
         if sql is not None:
+            TEXTS[name] = sql
             ORACLES[name] = with_ctes(sql)
         return fn
 

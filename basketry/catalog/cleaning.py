@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from basketry.catalog import query
 from basketry.functions import dates, text, values
 from basketry.operators import columns
+from basketry.operators.sets import union_all
 from basketry.plans import silver
+from basketry.session import scratch_path
+from basketry.sources.tables import read_table
 
 # The raw form of a table: text columns with stray white space, mixed case and unreadable values.
 RAW_CUSTOMERS = """
@@ -141,7 +144,12 @@ def silver_orders_job(x):
     return silver.silver_orders(raw).withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps})
 
 
+HOUSEHOLD_TABLES: dict[str, tuple] = {}
+
+
 def _household(name: str, sql: str, table: str, make):
+    HOUSEHOLD_TABLES[table] = (sql, make)
+
     @query(name, "B5 B6 B8", sql)
     def run(x, table=table, make=make):
         return silver.silver_household(make(x), table)
@@ -193,6 +201,21 @@ _household(
 )
 
 
+@query("household_silver_files", "A6 B8", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS rows_written, count(*) AS rows_read, {len(silver.HOUSEHOLD[t])}::INTEGER AS columns FROM ({sql})" for t, (sql, _) in HOUSEHOLD_TABLES.items()))
+def household_silver_files(x):
+    """All eight tables cleaned, written once each and reconciled with what went into the write."""
+    folder = scratch_path(x.spark, "household-silver")
+    written = silver.write_household({t: make(x) for t, (_, make) in HOUSEHOLD_TABLES.items()}, folder)
+    parts = [
+        read_table(x.spark, f"{folder}/{t}").agg(
+            F.lit(t).alias("table"), F.lit(rows).cast("long").alias("rows_written"), F.count(F.lit(1)).alias("rows_read"), F.lit(len(silver.HOUSEHOLD[t])).alias("columns")
+        )
+        for t, rows in written.items()
+    ]
+    return union_all(*parts).select("table", "rows_written", "rows_read", "columns")
+
+
 @query("select_available", "B9", "SELECT p_partkey, p_brand FROM part")
 def select_available(x):
     return columns.select_available(x["part"], ["p_partkey", "not_there", "p_brand"])

@@ -136,6 +136,27 @@ def weekly_trend(x):
     return c.weekly_trend(cohort, x["x_transactions"], 820).withColumn("mean_sales", F.round("mean_sales", 6))
 
 
+ALL_COHORT = COHORT.replace(f"t.CAMPAIGN IN ({LISTED}) AND ", "")
+
+
+@query("eligible_cohort_all", "O5 C7", f"SELECT CAMPAIGN, group_name, count(*) AS households, sum(household_key)::BIGINT AS key_sum FROM ({ALL_COHORT}) GROUP BY 1, 2")
+def eligible_cohort_all(x):
+    cohort = c.eligible_cohort(x["x_assignments"], x["x_campaigns"], x["x_transactions"])
+    return cohort.groupBy("CAMPAIGN", "group_name").agg(F.count(F.lit(1)).alias("households"), F.sum("household_key").cast("long").alias("key_sum"))
+
+
+@query("weekly_trend_campaigns", "O8", f"""
+    WITH full_weeks AS (SELECT WEEK_NO, max(DAY) AS last FROM x_transactions GROUP BY 1 HAVING min(DAY) < max(DAY) AND count(DISTINCT DAY) = 7),
+    k AS ({COHORT}),
+    w AS (SELECT CAMPAIGN, WEEK_NO FROM (SELECT DISTINCT CAMPAIGN, START_DAY FROM k) c JOIN full_weeks f ON f.last < c.START_DAY
+      QUALIFY row_number() OVER (PARTITION BY CAMPAIGN ORDER BY WEEK_NO DESC) <= 8)
+    SELECT CAMPAIGN, group_name, WEEK_NO, round(avg(sales), 6) AS mean_sales FROM (
+      SELECT k.CAMPAIGN, k.group_name, k.household_key, w.WEEK_NO, coalesce(sum(SALES_VALUE), 0) AS sales FROM k JOIN w USING (CAMPAIGN)
+      LEFT JOIN x_transactions t ON t.household_key = k.household_key AND t.WEEK_NO = w.WEEK_NO GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""")
+def weekly_trend_campaigns(x):
+    return c.weekly_trend(_cohort(x), x["x_transactions"]).withColumn("mean_sales", F.round("mean_sales", 6))
+
+
 def _change(name: str, lo: str, hi: str) -> str:
     return f"""SELECT CAMPAIGN, group_name, count(*) AS households, avg(sales) AS sales, avg(baskets) AS baskets, avg(active_days) AS active_days, '{name}' AS phase FROM ({_metrics(lo, hi)}) GROUP BY 1, 2"""
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.catalog import query
+from basketry.catalog import TEXTS, query
+from basketry.operators.sets import union_all
 from basketry.plans import demand as d
 from basketry.plans import smoothing
 
@@ -221,6 +222,43 @@ def champion_table(x):
     return _r(_r(d.champion_table(_errors(x), by="split"), "mae", "rmse"), "mae_vs_reference_pct", digits=4)
 
 
+def _trend_models(x):
+    """Forecasts of all closed-form models for the validation days."""
+    days = _train(x)
+    parts = [
+        d.drift(days, HORIZON, "order_status"), d.damped_drift(days, HORIZON, by="order_status"), d.seasonal_drift(days, HORIZON, by="order_status"),
+        d.weekday_adjusted(days, _valid(x), "order_status"),
+    ]
+    return union_all(*[p.select("order_status", "model", "date", "prediction") for p in parts])
+
+
+def _trend_errors(x, forecasts):
+    actual = _valid(x).select("order_status", "date", F.col("order_count").cast("double").alias("actual"))
+    return d.forecast_errors(forecasts.join(actual, ["order_status", "date"]), ["order_status", "model"])
+
+
+TREND_TEXT = " UNION ALL ".join(f"SELECT order_status, model, date, prediction FROM ({TEXTS[name]})" for name in ("drift", "damped_drift", "seasonal_drift", "weekday_adjusted"))
+TREND_ERRORS = f"""SELECT p.order_status, p.model, avg(abs(order_count - prediction)) AS mae, sqrt(avg(pow(order_count - prediction, 2))) AS rmse, count(*) AS evaluation_days
+    FROM ({TREND_TEXT}) p JOIN {FUTURE} f ON f.order_status = p.order_status AND f.date = p.date GROUP BY 1, 2"""
+
+
+@query("trend_champions", "L7 L8 L9 L10 L14", f"""
+    WITH e AS ({TREND_ERRORS})
+    SELECT e.order_status, model, round(mae, 4) AS mae, round(rmse, 4) AS rmse, evaluation_days, round(100.0 * (mae - base) / nullif(base, 0), 2) AS mae_vs_reference_pct
+    FROM e LEFT JOIN (SELECT order_status, mae AS base FROM e WHERE model = 'drift') b ON b.order_status = e.order_status""")
+def trend_champions(x):
+    table = d.champion_table(_trend_errors(x, _trend_models(x)), "drift", "order_status")
+    return _r(_r(table, "mae", "rmse", digits=4), "mae_vs_reference_pct", digits=2)
+
+
+@query("forecast_champions", "L11 L14")
+def forecast_champions(x):
+    """Trend models and smoothing in one table, by their error on the validation days."""
+    fits = x.stored(smoothing.smoothing_fits(_train(x), "order_count", d.SMOOTHING, "order_status"), "smoothing-fits")
+    smooth = smoothing.smoothing_forecasts(fits, HORIZON).select("order_status", "model", "date", "prediction")
+    return d.champion_table(_trend_errors(x, _trend_models(x).unionByName(smooth)), "drift", "order_status")
+
+
 def _feature_splits(x):
     df = x.stored(d.date_split(d.demand_features(x.daily_by_status, "order_status"), BOUNDS), "demand-features")
     return df.filter("split = 'train'"), df.filter("split = 'validation'"), df.filter("split = 'test'")

@@ -90,7 +90,10 @@ def repartition_by_key(x):
     )
 
 
-@query("json_record_sink", "A8")
+@query("json_record_sink", "A8", """
+    SELECT order_id, count(*)::INTEGER AS n_lines,
+      '[' || string_agg('{"order_item_id":' || order_item_id || ',"product_id":' || product_id || ',"price":' || price::DOUBLE || '}', ',' ORDER BY order_item_id, product_id, price) || ']' AS lines
+    FROM x_order_items GROUP BY 1""")
 def json_record_sink(x):
     path = scratch_path(x.spark, "order-records")
     lines = x["x_order_items"].groupBy("order_id").agg(

@@ -238,6 +238,23 @@ def reduced_logistic(x):
     return m.roc_auc(scored, P, Y, T).join(m.average_precision(scored, P, Y, T), T)
 
 
+@query("second_feature_set", "M9 M19 K9")
+def second_feature_set(x):
+    """The second feature set and its reduced form, fitted and evaluated alike."""
+    train, valid, test = (r.ratio_features(part) for part in _splits(x))
+    fitted = {"v2": models.fit_logistic(train, r.V2_FEATURES, Y, balanced=True), "v2_reduced": models.fit_logistic(train, r.REDUCED_FEATURES, Y, balanced=True)}
+    return models.benchmark_models(fitted, {"validation": valid, "test": test}, Y, ID)
+
+
+@query("fitted_rankings", "M18 M9 G2 G4")
+def fitted_rankings(x):
+    """How alike a balanced and an unweighted model rank the test population."""
+    train, _, test = _splits(x)
+    both = models.scored(models.fit_logistic(train, r.FEATURES, Y, balanced=True), test, "balanced")
+    both = models.scored(models.fit_logistic(train, r.FEATURES, Y), both, "unweighted").select(ID, T, "balanced", "unweighted")
+    return m.compare_rankings(x.stored(both, "two-scores"), "balanced", "unweighted", [ID, T])
+
+
 @query("tree_classifier", "M10")
 def tree_classifier(x):
     train, valid, _ = _splits(x)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from basketry.catalog import query
@@ -190,8 +191,8 @@ def tfidf_weights(x):
 
 def _prepared(x):
     df = reviews.prepared_reviews(_texts(x), nfkc=True).filter("has_normalized_text")
-    df = df.withColumn("proxy", reviews.dissatisfaction(F.col("review_score"))).select(
-        "review_observation_id", "review_text_normalized", "proxy", "review_creation_date"
+    df = df.withColumns({"proxy": reviews.dissatisfaction(F.col("review_score")), "sentiment": reviews.sentiment3(F.col("review_score"))}).select(
+        "review_observation_id", "review_text_normalized", "proxy", "sentiment", "review_creation_date"
     )
     return x.stored(retention.temporal_split(df, "review_creation_date", TRAIN_END, VALID_END), "review-texts")
 
@@ -206,6 +207,29 @@ def text_classifier(x):
     return metrics.classification_report(scored, "proxy", "predicted_class")
 
 
+def _text_scores(x, label, classes):
+    df = _prepared(x)
+    model = reviews.fit_text_classifier(df.filter("split = 'train'"), "review_observation_id", "review_text_normalized", label, classes)
+    return model.predict(df.filter("split <> 'train'"), "review_observation_id", "review_text_normalized")
+
+
+@query("text_classifier_three", "N6 N9 M20")
+def text_classifier_three(x):
+    """Negative, neutral and positive reviews by their text."""
+    return metrics.classification_report(_text_scores(x, "sentiment", ["negative", "neutral", "positive"]), "sentiment", "predicted_class")
+
+
+@query("text_ranking", "N9 M12 M13")
+def text_ranking(x):
+    """How well the text model ranks negative reviews, per split."""
+    scored = _text_scores(x, "proxy", ["negative", "not_negative"])
+    rows = x.stored(
+        scored.select("split", F.col("review_observation_id").alias("id"), (F.col("proxy") == "negative").cast("int").alias("y"), vector_to_array("probability")[0].alias("p")),
+        "text-scores",
+    )
+    return metrics.roc_auc(rows, "p", "y", "split").join(metrics.average_precision(rows, "p", "y", "split"), "split")
+
+
 @query("embedding_classifier", "N10 M12")
 def embedding_classifier(x):
     from basketry.plans.models import positive_probability

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,18 +93,31 @@ def without_overlap(
 ) -> DataFrame:
     """(member, target) rows for which the member holds no other assignment overlapping the target window.
 
-    `windows` gives the interval of each `group`; `targets` are the few windows
-    looked at, so they alone are broadcast. The assignment table is only joined
-    by equality: first to its own window, then, as an anti-join, to the members.
+    `windows` gives the interval of each `group`, `targets` the windows looked at; both are joined by equality only, and rows that are no interval
+    (an end unknown or before the start) overlap nothing. Endpoints are sorted once per member: of the intervals it holds, those that
+    overlap a target are those begun by the target's end, less those ended before its start. So a member with many
+    assignments costs a sort of them and not a comparison of each pair, and nothing is broadcast by a hint.
     """
-    aim = F.broadcast(
-        targets.select(F.col(group).alias("__target"), F.col(start).alias("__from"), F.col(end).alias("__to"))
+    whole = F.col(start) <= F.col(end)
+    held = assignments.select(key, group).na.drop().distinct().join(windows.filter(whole).select(group, start, end).distinct(), group)
+    aims = targets.filter(whole).select(F.col(group), F.col(start).alias("__from"), F.col(end).alias("__to"))
+    asked = members.select(key, group).na.drop().distinct().join(aims, group)
+
+    def events(rows: DataFrame, at: str, kind: int) -> DataFrame:
+        # among equal times: a target's start, starts, ends, a target's end
+        target = F.col(group) if kind in (0, 3) else F.lit(None).cast(rows.schema[group].dataType)
+        return rows.select(key, F.col(at).alias("__at"), F.lit(kind).alias("__kind"), target.alias("__target"))
+
+    moments = reduce(DataFrame.unionByName, [events(asked, "__from", 0), events(held, start, 1), events(held, end, 2), events(asked, "__to", 3)])
+    upto = Window.partitionBy(key).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = moments.withColumns({"__begun": F.count_if(F.col("__kind") == 1).over(upto), "__ended": F.count_if(F.col("__kind") == 2).over(upto)})
+    # a target listed with several windows is asked once for each
+    around = counted.filter("__target IS NOT NULL").groupBy(key, F.col("__target").alias(group)).agg(
+        (F.sum(F.when(F.col("__kind") == 3, F.col("__begun")).otherwise(0)) - F.sum(F.when(F.col("__kind") == 0, F.col("__ended")).otherwise(0))).alias("__n")
     )
-    held = assignments.join(windows.select(group, start, end), group)
-    clash = held.join(
-        aim, (F.col(group) != F.col("__target")) & (F.col(start) <= F.col("__to")) & (F.col(end) >= F.col("__from"))
-    )
-    clash = clash.select(key, F.col("__target").alias(group)).distinct()
+    # the target itself, where the member holds it
+    own = held.join(aims, group).filter((F.col(start) <= F.col("__to")) & (F.col(end) >= F.col("__from"))).groupBy(key, group).agg(F.count(F.lit(1)).alias("__own"))
+    clash = around.join(own, [key, group], "left").filter(F.col("__n") > F.coalesce("__own", F.lit(0))).select(key, group)
     return members.join(clash, [key, group], "left_anti")
 
 

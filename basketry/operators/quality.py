@@ -189,23 +189,38 @@ def _schema_row(spark: SparkSession, check: str, passed: bool, column: str | Non
 def profile(df: DataFrame) -> DataFrame:
     """Per column: type, null count and percentage, distinct non-null values; with rows and duplicate rows of the table.
 
-    Values are counted through one (column, value) grouping rather than one
-    distinct aggregate per column, so no hot value is held by a single task.
+    Distinct values and rows are counted by 96 bits of two hashes, combined per task before anything is shuffled: a value costs two numbers, however
+    long its text is, and equal first hashes of different values are told apart by the second.
     """
     types = dict(df.dtypes)
     nulls = unpivot_row(
-        df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]),
+        df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns]),
         "column",
         {
             c: {"data_type": F.lit(types[c]), "rows": F.col("__rows"), "null_count": F.col(f"`{c}`"), "null_pct": pct(F.col(f"`{c}`"), F.col("__rows"), 2)}
             for c in df.columns
         },
     )
+
+    def hashed(*values: Column) -> list[Column]:
+        return [F.xxhash64(*values).alias("a"), F.hash(F.lit(1), *values).alias("b")]
+
     values = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns]))
-    )
-    distinct = values.na.drop(subset=["v"]).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).agg(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(i).cast("short").alias("k"), F.col(f"`{c}`").isNull().alias("unknown"), *hashed(F.col(f"`{c}`").cast("string")))
+                    for i, c in enumerate(df.columns)
+                ]
+            )
+        )
+    ).filter("NOT unknown")
+    named = F.element_at(F.array(*[F.lit(c) for c in df.columns]), F.col("k") + 1)
+    distinct = values.groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.count(F.lit(1)).alias("distinct_count"))
+    distinct = distinct.select(named.alias("column"), "distinct_count")
+    # a hash passes over nulls, so which columns are null goes into it too
+    cells = [v for c in df.columns for v in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    copies = df.select(*hashed(*cells)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("__n")).agg(
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows")
     )
     return (

@@ -7,39 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 from basketry.operators.joins import match_coverage, window_totals, without_overlap
-from basketry.operators.sets import union_all
-from basketry.operators.topk import latest_complete_weeks
 
 HOUSEHOLD, CAMPAIGN, START, END = "household_key", "CAMPAIGN", "START_DAY", "END_DAY"
 METRICS = ["sales", "baskets", "active_days"]
 
 
-def _targets(campaigns: DataFrame, ids: Sequence[int]) -> DataFrame:
-    return campaigns.filter(F.col(CAMPAIGN).isin(list(ids))).select(CAMPAIGN, START, END)
-
-
 def eligible_cohort(
-    assignments: DataFrame, campaigns: DataFrame, households: DataFrame, campaign: int | Sequence[int]
+    assignments: DataFrame, campaigns: DataFrame, households: DataFrame, campaign: int | Sequence[int] | None = None
 ) -> DataFrame:
-    """Assigned and comparison households of one or several campaigns, free of any overlapping other campaign.
+    """Assigned and comparison households of one, several or all campaigns, free of any overlapping other campaign.
 
-    Assignment is not exposure. The campaigns asked for are the only broadcast rows.
+    Assignment is not exposure. Every household is compared with every campaign asked for, so the result is that large.
     """
-    ids = [campaign] if isinstance(campaign, int) else list(campaign)
-    targets = _targets(campaigns, ids)
-    assigned = assignments.filter(F.col(CAMPAIGN).isin(ids)).select(HOUSEHOLD, CAMPAIGN).distinct()
-    everyone = households.select(HOUSEHOLD).distinct().withColumn(
-        CAMPAIGN, F.explode(F.array(*[F.lit(i) for i in ids]).cast(f"array<{dict(campaigns.dtypes)[CAMPAIGN]}>"))
-    )
-    known = everyone.join(F.broadcast(targets.select(CAMPAIGN)), CAMPAIGN, "left_semi")
-    comparison = known.join(assigned, [HOUSEHOLD, CAMPAIGN], "left_anti")
-    members = assigned.withColumn("group_name", F.lit("assigned")).unionByName(
+    targets = campaigns.select(CAMPAIGN, START, END)
+    if campaign is not None:
+        targets = targets.filter(F.col(CAMPAIGN).isin([campaign] if isinstance(campaign, int) else list(campaign)))
+    assigned = assignments.select(HOUSEHOLD, CAMPAIGN).distinct().join(targets.select(CAMPAIGN), CAMPAIGN, "left_semi")
+    # the list of campaigns is one row
+    listed = targets.agg(F.collect_set(CAMPAIGN).alias("__all"))
+    everyone = households.select(HOUSEHOLD).distinct().crossJoin(F.broadcast(listed)).select(HOUSEHOLD, F.explode("__all").alias(CAMPAIGN))
+    comparison = everyone.join(assigned, [HOUSEHOLD, CAMPAIGN], "left_anti")
+    members = assigned.select(HOUSEHOLD, CAMPAIGN, F.lit("assigned").alias("group_name")).unionByName(
         comparison.withColumn("group_name", F.lit("comparison"))
     )
     free = without_overlap(members, assignments, campaigns, HOUSEHOLD, targets, CAMPAIGN, START, END)
-    return free.join(F.broadcast(targets), CAMPAIGN).select(CAMPAIGN, START, END, "group_name", HOUSEHOLD)
+    return free.join(targets, CAMPAIGN).select(CAMPAIGN, START, END, "group_name", HOUSEHOLD)
 
 
 def daily_baskets(tx: DataFrame) -> DataFrame:
@@ -88,25 +81,23 @@ def smd(metrics: DataFrame, cols: Sequence[str] = METRICS) -> DataFrame:
 def weekly_trend(cohort: DataFrame, tx: DataFrame, start: int | None = None, weeks: int = 8) -> DataFrame:
     """Mean sales per household, campaign, group and week over the last complete weeks before the start day.
 
-    Without `start` each campaign of the cohort (a few) takes its own. Households without sales count with zero, so a week's mean is
-    its sales over the group size.
+    Without `start` each campaign of the cohort takes its own. The sales are read and summed once, whatever the number of campaigns.
+    Households without sales count with zero, so a week's mean is its sales over the group size.
     """
-    if start is None:
-        starts = cohort.select(CAMPAIGN, START).distinct().collect()
-        parts = [weekly_trend(cohort.filter(F.col(CAMPAIGN) == r[CAMPAIGN]), tx, r[START], weeks) for r in starts]
-        return union_all(*parts)
-    wanted = latest_complete_weeks(tx, start, weeks)
-    sales = (
-        tx.filter(F.col("DAY") < start)
-        .groupBy(HOUSEHOLD, "WEEK_NO")
-        .agg(F.sum("SALES_VALUE").alias("sales"))
-        .join(F.broadcast(wanted), "WEEK_NO", "left_semi")
-    )
+    begins = F.col(START) if start is None else F.lit(start)
+    spans = tx.groupBy("WEEK_NO").agg(F.min("DAY").alias("first"), F.max("DAY").alias("last"), F.countDistinct("DAY").alias("days"))
+    whole = spans.filter((F.col("first") < F.col("last")) & (F.col("days") == 7))
+    # the complete weeks of the calendar are one row; a campaign takes the latest that end before it starts
+    calendar = whole.agg(F.sort_array(F.collect_list(F.struct("WEEK_NO", "last")), asc=False).alias("__weeks"))
+    starts = cohort.select(CAMPAIGN, begins.alias("__start")).distinct().crossJoin(F.broadcast(calendar))
+    latest = F.slice(F.filter("__weeks", lambda w: w["last"] < F.col("__start")), 1, weeks)
+    wanted = starts.select(CAMPAIGN, F.explode(latest).alias("__w")).select(CAMPAIGN, F.col("__w.WEEK_NO").alias("WEEK_NO"))
+    sales = tx.groupBy(HOUSEHOLD, "WEEK_NO").agg(F.sum("SALES_VALUE").alias("sales")).join(wanted.select("WEEK_NO").distinct(), "WEEK_NO", "left_semi")
     members = cohort.select(CAMPAIGN, "group_name", HOUSEHOLD)
     sizes = members.groupBy(CAMPAIGN, "group_name").agg(F.count(F.lit(1)).alias("n"))
-    sums = members.join(sales, HOUSEHOLD).groupBy(CAMPAIGN, "group_name", "WEEK_NO").agg(F.sum("sales").alias("sales"))
-    grid = sizes.crossJoin(F.broadcast(wanted))
-    return grid.join(sums, [CAMPAIGN, "group_name", "WEEK_NO"], "left").select(
+    sums = members.join(sales, HOUSEHOLD).join(wanted, [CAMPAIGN, "WEEK_NO"], "left_semi")
+    sums = sums.groupBy(CAMPAIGN, "group_name", "WEEK_NO").agg(F.sum("sales").alias("sales"))
+    return sizes.join(wanted, CAMPAIGN).join(sums, [CAMPAIGN, "group_name", "WEEK_NO"], "left").select(
         CAMPAIGN, "group_name", "WEEK_NO", (F.coalesce("sales", F.lit(0.0)) / F.col("n")).alias("mean_sales")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from basketry.functions.text import clean_text, lower_text, to_int, to_num, to_t
 from basketry.operators.columns import project
 from basketry.operators.quality import check_not_null, check_unique, summarize
 from basketry.operators.sets import union_all
+from basketry.sources.tables import write_table
 
 # Raw order columns, all read as text.
 RAW_ORDERS = T.StructType(
@@ -167,6 +170,14 @@ def silver_household(df: DataFrame, table: str) -> DataFrame:
     return project(df, spec)
 
 
+def write_household(raw: Mapping[str, DataFrame], folder: str, compression: str = "zstd") -> dict[str, int]:
+    """Cleans and writes each household table below `folder`; refuses to overwrite, and raises where the written rows are not those of the source."""
+    return {
+        name: write_table(silver_household(df, name), f"{folder}/{name}", mode="errorifexists", compression=compression, reconcile=True)
+        for name, df in raw.items()
+    }
+
+
 def delivery_delay_days() -> Column:
     """Days from the estimated to the actual delivery, null unless both are known."""
     return days_between(F.col("order_estimated_delivery_date"), F.col("order_delivered_customer_date"))

@@ -29,11 +29,18 @@ def build_session(app: str = "basketry", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in `spark.checkpoint.dir`. Where that is unset, as in tests, the session's
-    warehouse is used: it lies in the file system that the session itself writes tables to.
+    The cluster names it in `spark.checkpoint.dir`. Where that is unset, as in tests, the session's warehouse is used: on a local master any
+    folder will do; on a cluster it has to lie in a shared file system, since every executor would write to its own disk otherwise.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    scheme = spark._jvm.org.apache.hadoop.fs.Path(warehouse).toUri().getScheme() or "file"
+    if scheme == "file" and not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

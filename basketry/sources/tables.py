@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +35,17 @@ def write_table(
 ) -> int | None:
     """Parquet sink; `mode="errorifexists"` refuses to overwrite.
 
-    With `reconcile` the written rows are counted against the input and the
-    count is returned; a difference raises.
+    With `reconcile` the rows on disk, counted from the files' footers, have to be those that went through the
+    write, counted on their way; the input runs once. The count is returned; a difference raises.
+
+    Rows are dealt out by the partition columns first, so that a value has few files; a value with very many rows is split over as many
+    tasks as its size asks for (adaptive rebalancing).
     """
-    writer = df.write.mode(mode)
+    passed = Observation()
+    rows = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    if reconcile:
+        rows = rows.observe(passed, F.count(F.lit(1)).alias("rows"))
+    writer = rows.write.mode(mode)
     if compression:
         writer = writer.option("compression", compression)
     if partition_by:
@@ -46,8 +53,7 @@ def write_table(
     writer.parquet(path)
     if not reconcile:
         return None
-    written = df.sparkSession.read.parquet(path).count()
-    expected = df.count()
+    written, expected = df.sparkSession.read.parquet(path).count(), passed.get["rows"]
     if written != expected:
         raise ValueError(f"row-count mismatch: source={expected}, written={written}")
     return written
@@ -77,21 +83,20 @@ def register(df: DataFrame, name: str) -> DataFrame:
 def write_snapshot(df: DataFrame, path: str, snapshot_id: int) -> None:
     """Add version `snapshot_id` of a table; an existing version is never rewritten.
 
-    A table folder is a set of Parquet folders `snapshot_id=<id>`; the moment of
-    the commit is kept with the rows. With a table catalog at hand the same calls
-    map to `writeTo(...).overwritePartitions()` and `VERSION AS OF`.
+    A table folder is a set of Parquet folders `data/snapshot_id=<id>` and one-row records `commits/snapshot_id=<id>` with the time and the number of
+    rows, counted while they are written. With a table catalog at hand the same calls map to `writeTo(...).overwritePartitions()` and
+    `VERSION AS OF`.
     """
-    stamped = df.withColumn("committed_at", F.current_timestamp())
-    stamped.write.mode("errorifexists").parquet(f"{path}/snapshot_id={int(snapshot_id)}")
+    passed = Observation()
+    version = f"snapshot_id={int(snapshot_id)}"
+    df.observe(passed, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(f"{path}/data/{version}")
+    commit = df.sparkSession.range(1).select(F.current_timestamp().alias("committed_at"), F.lit(passed.get["rows"]).cast("long").alias("rows"))
+    commit.write.mode("errorifexists").parquet(f"{path}/commits/{version}")
 
 
 def snapshot_history(spark: SparkSession, path: str) -> DataFrame:
-    """Versions by commit time, with their parent version and row count."""
-    versions = (
-        spark.read.parquet(path)
-        .groupBy("snapshot_id")
-        .agg(F.min("committed_at").alias("committed_at"), F.count(F.lit(1)).alias("rows"))
-    )
+    """Committed versions by time, with their parent version and row count; reads the commit records alone."""
+    versions = spark.read.parquet(f"{path}/commits")
     # one row per version: the window sees the short version list, never table rows
     from pyspark.sql import Window
 
@@ -102,8 +107,7 @@ def snapshot_history(spark: SparkSession, path: str) -> DataFrame:
 
 def read_as_of(spark: SparkSession, path: str, snapshot_id: int) -> DataFrame:
     """The table as of one version; only that version's folder is scanned."""
-    table = spark.read.parquet(path).filter(F.col("snapshot_id") == F.lit(int(snapshot_id)))
-    return table.drop("snapshot_id", "committed_at")
+    return spark.read.parquet(f"{path}/data").filter(F.col("snapshot_id") == F.lit(int(snapshot_id))).drop("snapshot_id")
 
 
 def compare_snapshots(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
