@@ -88,6 +88,20 @@ def test_rows_that_share_a_doc_id_are_judged_by_their_text(spark, none):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
 
 
+def test_odd_rows(spark, odd, none, clashing):
+    """Words decide: rows without any are one, the rest of the odd rows are alike or apart."""
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    kept = {r["doc_id"] for r in near.keep_one(odd).collect()}
+    texts = {d: t for d, t in rows if d is not None}
+    assert {d for d in kept if d is not None} == first_of(texts)
+    assert near.keep_one(odd).count() == len(first_of(texts)) + 2
+    assert near.keep_one(none).count() == 0 and near.keep_one(none).columns == none.columns
+    got = near.keep_one(clashing)
+    assert got.columns == clashing.columns and {r["doc_id"] for r in got.collect()} == kept
+    dotted = odd.withColumn("a.b", odd["lang"])
+    assert near.keep_one(dotted).columns == dotted.columns
+
+
 def test_pairs_just_above_the_limit_share_a_band():
     draw = random.Random(11)
     missed = 0
