@@ -1,7 +1,7 @@
 """Quality rules whose cutoffs follow the data: mergeable quantile sketches per language and source, then a joined filter.
 
-DataFrame functions only. The sketch of a group is a histogram over log-linear integer bins (each value keeps its five
-leading bits, so a bin is at most 1/16 wide relative to its values). Two sketches merge by adding counts, in any order and
+DataFrame functions only. The sketch of a group is a histogram over log-linear integer bins (each value keeps its seven
+leading bits, so a bin is at most 1/64 wide relative to its values). Two sketches merge by adding counts, in any order and
 with the same result, so Spark's partial sums build them before the shuffle and reruns agree. A group's sketch has a few
 hundred rows at most, whatever the number of its documents.
 """
@@ -17,16 +17,22 @@ from basketry.llm.common import stored, words_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "[#*$%&|<>]"
-#: Rows a group needs for cutoffs of its own; smaller ones take those of the language, then those of all.
-MIN_GROUP = 100
+#: The cutoffs of a language and source are mixed with those of the language as if these came from so many rows more; the language's with those of all.
+PRIOR = 100
 #: A cutoff lies this many times the distance from the median to the nearer quartile beyond the median. Junk on one side moves one
 #: quartile only, so up to half of a group may be junk. Of a normal distribution these are ten standard deviations.
 REACH = 15
-#: A group's cutoff lies at most this many times the reach of its language's sketch beyond the language's median.
+#: A group's cutoff lies at most this many times the reach of its language beyond the language's median.
 WIDE = 2
-#: Measures with the least distance from the median (in the measure's unit) that a cutoff keeps, and the sides it cuts.
-MEASURES = {"symbol_permille": (25, "high"), "dup_line_permille": (450, "high"), "repeat_permille": (300, "high"), "word_tenths": (20, "both")}
-SIDES = ("low", "high", "far_low", "far_high")
+#: Measures: the size they are a share of, what one more occurrence adds to them times that size, how many occurrences in a text of the group's
+#: median size a cutoff allows where the quartiles don't differ, and the sides cut. A word's length has steps of one tenth.
+MEASURES = {
+    "symbol_permille": ("chars", 1000, 35.0, "high"), "dup_line_permille": ("all_lines", 1000, 2.5, "high"), "repeat_permille": ("words", 3000, 27.0, "high"),
+    "word_tenths": (None, 1, 10.0, "both"),
+}
+SIZES = ("chars", "all_lines", "words")
+#: Leading bits that a bin of the sketches keeps.
+BITS = 7
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -75,14 +81,14 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _bin(value: Column) -> Column:
-    """The value with all but its five leading bits cleared."""
-    drop = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
+    """The value with all but its leading bits cleared."""
+    drop = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
 def sketches(rows: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(keys, measure, bin, n): the sketch of every group over the rows that pass the fixed rules."""
-    values = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"q_{m}").alias("value")) for m in MEASURES))
+    """(keys, measure, bin, n): the sketches of every group over the rows that pass the fixed rules, of the measures and the sizes."""
+    values = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"q_{m}").alias("value")) for m in (*MEASURES, *SIZES)))
     flat = rows.filter("NOT q_failed").select(*keys, F.inline(values))
     return flat.groupBy(*keys, "measure", _bin(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -92,12 +98,10 @@ def merge(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
 
 
-def cutoffs(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, n, low_<measure>, high_<measure>, far_low_<measure>, far_high_<measure>): cutoffs of every group, read from its sketch.
+def centres(sketch: DataFrame, keys: tuple[str, ...], tag: str) -> DataFrame:
+    """(keys, <tag>_n, <tag>_mid_<measure>, <tag>_reach_<measure>): median and reach of every group, read from its sketches.
 
-    The far ones bound the cutoffs of finer groups.
-
-    The bins of one group and measure, a few hundred at most, are one array; a percentile is the first bin at which
+    The bins of one group and measure, at most a few hundred times the number of binary orders, are one array; a percentile is the first bin at which
     the running count reaches its share.
     """
     bins = sketch.groupBy(*keys, "measure").agg(
@@ -111,54 +115,57 @@ def cutoffs(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         )
 
     read = bins.select(*keys, "measure", "n", *(F.expr(at(p)).alias(f"p{p}") for p in (25, 50, 75)))
-    least = reduce(lambda c, m: c.when(F.col("measure") == m, MEASURES[m][0]), MEASURES, F.when(F.lit(False), 0))
-    reach = F.greatest(F.lit(REACH) * F.least(F.col("p50") - F.col("p25"), F.col("p75") - F.col("p50")), least)
-    wide = read.withColumn("reach", reach).withColumns(
-        {
-            "high": F.col("p50") + F.col("reach"),
-            "low": F.col("p50") - F.col("reach"),
-            "far_high": F.col("p50") + F.lit(WIDE) * F.col("reach"),
-            "far_low": F.col("p50") - F.lit(WIDE) * F.col("reach"),
-        }
+    near = F.least(F.col("p50") - F.col("p25"), F.col("p75") - F.col("p50"))
+    wide = read.groupBy(*keys).agg(
+        F.max("n").alias(f"{tag}_n"), *[F.max(F.when(F.col("measure") == m, F.col("p50"))).alias(f"{tag}_mid_{m}") for m in (*MEASURES, *SIZES)],
+        *[F.max(F.when(F.col("measure") == m, near)).alias(f"near_{m}") for m in MEASURES],
     )
-    picks = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in SIDES]
-    return wide.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    step = {m: F.lit(float(one)) / F.greatest(F.col(f"{tag}_mid_{size}"), F.lit(1)) if size else F.lit(float(one)) for m, (size, one, _, _) in MEASURES.items()}
+    reach = {m: F.greatest(F.lit(float(REACH)) * F.col(f"near_{m}"), F.lit(MEASURES[m][2]) * step[m]) for m in MEASURES}
+    return wide.select(*keys, f"{tag}_n", *(F.col(f"{tag}_mid_{m}").cast("double").alias(f"{tag}_mid_{m}") for m in MEASURES), *(reach[m].alias(f"{tag}_reach_{m}") for m in MEASURES))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """`measured` rows with `q_kept`: the fixed rules hold and no measure lies beyond the cutoffs of its group.
+def cutoffs(fine: DataFrame) -> DataFrame:
+    """(lang, source, low_<measure>, high_<measure>) from the sketches of all languages and sources.
 
-    A row takes the cutoffs of its (lang, source) if at least MIN_GROUP rows made them, else those of its language on the same
-    condition, else those of all rows. None of them lies beyond the far cutoff of the language (under MIN_GROUP rows: of all
-    rows), so a group that is mostly junk can't set its own rule. Nulls of lang and source are groups of their own. A table without a row
-    that passes the fixed rules has no cutoffs and keeps nothing.
+    Median and reach of a group are mixed with those of its language by the number of rows, and those of the language with those of all, so a small
+    group follows its language and a large one itself. No cutoff lies beyond WIDE times the language's reach from the language's median, so a
+    group that is mostly junk can't set its own rule.
     """
-    fine = stored(sketches(rows), "quality-sketches")
     by_lang = merge(fine, ("lang",))
-    sides = [f"{side}_{m}" for m in MEASURES for side in SIDES]
-    levels = [("g", fine, ("lang", "source")), ("l", by_lang, ("lang",)), ("a", merge(by_lang, ()), ())]
-    df = rows
-    for tag, sketch, keys in levels:
-        cut = cutoffs(sketch, keys)
-        named = cut.filter(F.col("n") >= MIN_GROUP) if keys else cut
-        named = named.select(*(F.col(k).alias(f"{tag}_{k}") for k in keys), *(F.col(s).alias(f"{tag}_{s}") for s in sides))
-        on = reduce(lambda a, b: a & b, (df[k].eqNullSafe(named[f"{tag}_{k}"]) for k in keys), F.lit(True))
-        df = df.join(named, on, "left") if keys else df.join(F.broadcast(named), how="left")  # the last is one row
+    group, lang = centres(fine, ("lang", "source"), "g"), centres(by_lang, ("lang",), "l").withColumnRenamed("lang", "l_lang")
+    table = group.join(lang, F.col("lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(centres(merge(by_lang, ()), (), "a")))  # the last is one row
+    for tag, parent in (("l", "a"), ("g", "l")):
+        mixed = lambda what: (F.col(f"{tag}_n") * F.col(f"{tag}_{what}") + F.lit(PRIOR) * F.col(f"{parent}_{what}")) / (F.col(f"{tag}_n") + F.lit(PRIOR))  # noqa: B023, E731
+        table = table.withColumns({f"{tag}_{what}": mixed(what) for what in (f"{kind}_{m}" for kind in ("mid", "reach") for m in MEASURES)})
+    both = {}
+    for m in MEASURES:
+        mid, reach, lang_mid, far = (F.col(f"{tag}_{kind}_{m}") for tag in "gl" for kind in ("mid", "reach"))
+        both[f"high_{m}"] = F.least(mid + reach, lang_mid + F.lit(WIDE) * far)
+        both[f"low_{m}"] = F.greatest(mid - reach, lang_mid - F.lit(WIDE) * far)
+    return table.select("lang", "source", *(c.alias(name) for name, c in both.items()))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """`measured` rows with `q_kept`: the fixed rules hold and no measure lies beyond the cutoffs of its language and source.
+
+    Nulls of lang and source are groups of their own. A table without a row that passes the fixed rules has no cutoffs and keeps nothing.
+    """
+    cut = cutoffs(stored(sketches(rows), "quality-sketches"))
+    cut = cut.select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), *(F.col(f"{side}_{m}").alias(f"q_{side}_{m}") for m in MEASURES for side in ("low", "high")))
+    df = rows.join(cut, rows["lang"].eqNullSafe(cut["q_lang"]) & rows["source"].eqNullSafe(cut["q_source"]), "left")
     kept = ~F.col("q_failed")
-    for m, (_, cuts) in MEASURES.items():
-        value = F.col(f"q_{m}")
-        first = {side: F.coalesce(*(F.col(f"{tag}_{side}_{m}") for tag, _, _ in levels)) for side in ("low", "high")}
-        far = {side: F.coalesce(*(F.col(f"{tag}_far_{side}_{m}") for tag, _, _ in levels[1:])) for side in ("low", "high")}
-        kept = kept & (value <= F.least(first["high"], far["high"]))
+    for m, (*_, cuts) in MEASURES.items():
+        kept = kept & (F.col(f"q_{m}") <= F.col(f"q_high_{m}"))
         if cuts == "both":
-            kept = kept & (value >= F.greatest(first["low"], far["low"]))
+            kept = kept & (F.col(f"q_{m}") >= F.col(f"q_low_{m}"))
     return df.select(*rows.columns, F.coalesce(kept, F.lit(False)).alias("q_kept"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """One row per row of `docs(doc_id, text, lang, source)`: its counts, `base_failed` and `kept`.
 
-    Null texts have no words and fail. Repeated rows are judged alike, each on its own. Other columns are ignored.
+    Null texts have no words and fail. Repeated rows are judged alike, each on its own. Empty tables give no rows. Other columns are ignored.
     """
     rows = measured(docs.select("doc_id", "text", "lang", "source")).drop("text")
     out = judged(stored(rows, "quality-measures"))
@@ -170,6 +177,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, with their own columns, whatever these are called."""
+    """The rows of `docs` that the rules keep, with their own columns, whatever these are called.
+
+    Null, empty and short texts fail the fixed rules; long ones count whole. Equal rows are judged alike, and an empty table gives no rows.
+    """
     packed = docs.select(F.struct("*").alias("q_row"), "text", "lang", "source")
     return judged(stored(measured(packed).drop("text"), "quality-measures")).filter("q_kept").select("q_row.*")
