@@ -75,16 +75,15 @@ def samples(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     for j in range(1, history + 1):
         here, before = F.lead("span", j).over(order), F.lead("span", j - 1).over(order)
         later.append(F.when(here > before, F.struct(here.alias("span"), F.lit(j).alias("back"))))
-    rows = rows.withColumns(
-        {
-            "here": F.array(F.struct("span", F.lit(0).alias("back"))),
-            "later": F.array_compact(F.array(*later)),
-            "all": F.collect_set("span").over(W.partitionBy("conv_id")),
-        }
-    )
-    every = F.transform("all", lambda s: F.struct(s.alias("span"), F.when(s == F.col("span"), 0).otherwise(-1).alias("back")))
-    rows = rows.withColumn("places", F.when(F.col("is_head"), every).otherwise(F.concat("here", "later")))
-    placed = rows.select("conv_id", "at", "role", "text", "tokens", F.inline("places"))
+    here = F.array(F.struct("span", F.lit(0).alias("back")))
+    places = F.when(F.col("is_head"), here).otherwise(F.concat(here, F.array_compact(F.array(*later))))
+    parts = ["conv_id", "at", "role", "text", "tokens"]
+    placed = rows.withColumn("places", places).select(*parts, F.inline("places"))
+    # the system turn joins the other spans: a row for each, and no turn carries the list of all
+    heads = rows.filter("is_head").select(*parts, F.col("span").alias("own"))
+    every = rows.select(F.col("conv_id").alias("same"), "span").distinct()
+    others = heads.join(every, F.col("conv_id").eqNullSafe(F.col("same"))).filter("span <> own")
+    placed = placed.unionByName(others.select(*parts, "span", F.lit(-1).alias("back")))
     turn = F.struct("at", "role", "text", "tokens", "back")
     windows = placed.groupBy("conv_id", "span").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     # history that does not fit its quarter is left out, farthest first

@@ -64,3 +64,14 @@ def test_whole_table(spark, documents):
     got = chat.read_back(chat.samples(frame.unionByName(chat.probe(spark)))).collect()
     talks[-7] = [(0, "user", PROBE), (1, "assistant", PROBE)]
     assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == {c: brute.chat(t) for c, t in talks.items()}
+
+
+def test_the_system_turn_opens_every_window_of_a_long_conversation(spark):
+    """A conversation with most of all rows, and one without a number: each window begins with its own system turn."""
+    rows = [(9, 0, "system", "rules of nine"), (None, 0, "system", "rules of none"), (8, 0, "user", "hi")]
+    rows += [(c, t, ("assistant", "user")[t % 2], f"turn {t} " + "word " * 20) for c, n in ((9, 3000), (None, 400)) for t in range(1, n)]
+    windows = chat.samples(spark.createDataFrame(rows, SCHEMA), budget=300).collect()
+    for conv, said in ((9, "rules of nine"), (None, "rules of none")):
+        own = [w for w in windows if w["conv_id"] == conv]
+        assert len(own) > 20 and all(w["formatted"].startswith(f"<turn system>{said}</turn>") and w["formatted"].count(said) == 1 for w in own)
+        assert len({w["span"] for w in own}) == len(own)
