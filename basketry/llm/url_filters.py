@@ -53,11 +53,16 @@ def patterns_of(url: Column, depth: int) -> Column:
     return F.when(host != "", every).otherwise(F.array().cast("array<string>"))
 
 
+def rank_of(pattern: Column) -> Column:
+    """How specific a kind of pattern is: prefix, host, domain."""
+    return F.when(pattern.startswith("prefix:"), 2).when(pattern.startswith("host:"), 1).otherwise(0)
+
+
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """`captures(page_id, url, day)` with `n_active`, `pattern`, `listed` and `kept`: one row per row.
 
-    `n_active` counts the entries active on the day of the capture. The longest active pattern decides, block before allow at the same
-    length; without one the capture is kept. A null URL, one without host, and a null day meet no entry and are kept.
+    `n_active` counts the entries active on the day of the capture. The most specific active pattern decides: the longest path prefix, else the
+    host itself, else the longest domain; block goes before allow for the same pattern. Without one the capture is kept. A null URL, one without host, and a null day meet no entry and are kept.
     """
     spans = intervals(entries)
     deepest = spans.filter("pattern LIKE 'prefix:%'").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
@@ -70,7 +75,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
         "page_id", "url", "day", F.explode(patterns_of(F.col("url"), deepest)).alias("pattern"), F.expr(f"day DIV {BUCKET_DAYS}").alias("bucket")
     )
     met = wanted.join(listed, ["pattern", "bucket"]).filter("day >= from_day AND (to_day IS NULL OR day < to_day)")
-    best = F.max(F.struct(F.length("pattern").alias("n"), (F.col("listed") == "block").alias("block"), "pattern", "listed"))
+    best = F.max(F.struct(rank_of(F.col("pattern")).alias("rank"), F.length("pattern").alias("n"), (F.col("listed") == "block").alias("block"), "pattern", "listed"))
     verdict = met.groupBy("page_id", "url", "day").agg(F.count("*").alias("n_active"), best.alias("best"))
     verdict = verdict.select("n_active", "best", *(F.col(k).alias(f"v_{k}") for k in ("page_id", "url", "day")))
     on = [F.col(k).eqNullSafe(F.col(f"v_{k}")) for k in ("page_id", "url", "day")]
@@ -123,7 +128,7 @@ c AS (
   SELECT c.page_id, c.url, c.day, c.pattern, s.listed FROM c JOIN s ON c.pattern = s.pattern AND s.state AND c.day >= s.from_day
     AND (s.to_day IS NULL OR c.day < s.to_day)
 ), b AS (
-  SELECT page_id, url, day, count(*) AS n_active, arg_max({'p': pattern, 'l': listed}, {'n': length(pattern), 'b': listed = 'block', 'p': pattern}) AS best
+  SELECT page_id, url, day, count(*) AS n_active, arg_max({'p': pattern, 'l': listed}, {'r': CASE WHEN starts_with(pattern, 'prefix:') THEN 2 WHEN starts_with(pattern, 'host:') THEN 1 ELSE 0 END, 'n': length(pattern), 'b': listed = 'block', 'p': pattern}) AS best
   FROM m GROUP BY ALL
 )
 SELECT u.page_id, u.url, u.day, coalesce(b.n_active, 0) AS n_active, b.best.p AS pattern, b.best.l AS listed, coalesce(b.best.l <> 'block', true) AS kept

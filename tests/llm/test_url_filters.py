@@ -23,9 +23,9 @@ def brute(captures, entries):
             host = host.split(":")[0].lower()
             labels, parts = host.split("."), [p for p in path.split("?")[0].split("#")[0].split("/") if p]
             own = {f"host:{host}", *(f"domain:{'.'.join(labels[i:])}" for i in range(len(labels))), *(f"prefix:{host}/{'/'.join(parts[:i])}" for i in range(1, len(parts) + 1))}
-            hits = [(len(p), x == "block", p, x) for p, x in known if host and p in own and active(p, x, day)]
+            hits = [(("domain", "host", "prefix").index(p.split(":")[0]), len(p), x == "block", p, x) for p, x in known if host and p in own and active(p, x, day)]
         best = max(hits, default=None)
-        out.append((page, len(hits), best and best[2], best is None or not best[1]))
+        out.append((page, len(hits), best and best[3], best is None or not best[2]))
     return sorted(out, key=repr)
 
 
@@ -41,6 +41,15 @@ def test_against_plain_python(spark):
     assert sorted(((r["page_id"], r["n_active"], r["pattern"], r["kept"]) for r in got.collect()), key=repr) == brute(captures, entries)
 
 
+def test_an_exact_host_beats_its_domain_and_a_path_beats_both(spark):
+    entries = [("domain:a.b.org", "block", "add", 1), ("host:a.b.org", "allow", "add", 1), ("prefix:a.b.org/x", "block", "add", 1), ("domain:org", "block", "add", 1)]
+    captures = [(1, "http://a.b.org/y", 5), (2, "http://a.b.org/x/z", 5), (3, "http://c.a.b.org/y", 5), (4, "http://d.org", 5)]
+    got = u.evaluate(spark.createDataFrame(captures, CAPTURES), spark.createDataFrame(entries, ENTRIES)).collect()
+    assert {r["page_id"]: (r["pattern"], r["kept"]) for r in got} == {
+        1: ("host:a.b.org", True), 2: ("prefix:a.b.org/x", False), 3: ("domain:a.b.org", False), 4: ("domain:org", False),
+    }
+
+
 def test_an_entry_counts_from_its_day_until_its_removal(spark):
     entries = spark.createDataFrame([("host:a.com", "block", "add", 10), ("host:a.com", "block", "remove", 400), ("host:a.com", "block", "remove", 500)], ENTRIES)
     captures = spark.createDataFrame([(d, "http://a.com", d) for d in (9, 10, 399, 400, 900)], CAPTURES)
