@@ -63,10 +63,9 @@ class EliasFano:
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
-        low = 0
-        for b in range(self.width):
-            bit = i * self.width + b
-            low |= (int(self._low[bit // 8]) >> bit % 8 & 1) << b
+        bit = i * self.width
+        raw = int.from_bytes(self._low[bit // 8 : (bit + self.width + 7) // 8].tobytes(), "little")
+        low = raw >> bit % 8 & (1 << self.width) - 1
         return (self.select(i) - i) << self.width | low
 
     def values(self) -> np.ndarray:

@@ -16,10 +16,11 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from heapq import nlargest
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ from basketry.session import scratch_path
 
 END = 1
 #: Bytes of ids in a shard, and words whose ids a task remembers.
-SHARD_BYTES, REMEMBERED = 4 << 20, 300_000
+SHARD_BYTES, REMEMBERED = 32 << 20, 600_000
+#: Bytes of texts whose words are looked up together.
+GROUP_BYTES = 4 << 20
 #: Shards whose starts are summed up in one window partition.
 LANE = 4096
 MAGIC = b"IDSHARD1"
@@ -49,49 +52,72 @@ class WordCoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
+        #: Ids that end a piece, where the vocabulary marks them.
+        self._last = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._last[[i for token, i in self._tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
-        self._met: dict[bytes, int] = {}
+        self._before: dict[bytes, bytes] = {}
         self._learn([b".", b","])
         self._marks = {w[0]: ids for w, ids in self._known.items()}
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text and the end id, as bytes. Null is an empty text."""
         # the tokenizer ignores case, but for the text of its special tokens
-        split = [(x if b"<|" in x else x.lower()).split() if x else [] for x in texts]
-        known, met = self._known, self._met
-        fresh = []
-        for w in {w for words in split for w in words}:
-            if w in known:
-                met[w] += 1
-            else:
-                fresh.append(w)
+        kept = [(x if b"<|" in x else x.lower()) if x else b"" for x in texts]
+        split = pc.ascii_split_whitespace(pa.array(kept, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy()
+        if len(self._known) > REMEMBERED // 2:  # words met since the last time stay, the others go next time
+            self._known, self._before = {}, self._known
+        known, before = self._known, self._before
+        known[b""] = b""  # before and after white space at the ends
+        fresh = set(distinct) - known.keys()
+        met = fresh & before.keys()
+        known.update((w, before[w]) for w in met)
         hard = []
-        for w in fresh:
+        for w in fresh - met:
             # a full stop or comma behind a letter is a piece of its own
             if w[-1:] in (b".", b",") and w[-2:-1].isalpha() and w[:-1] in known:
-                known[w], met[w] = known[w[:-1]] + self._marks[w[-1]], 1
+                known[w] = known[w[:-1]] + self._marks[w[-1]]
             else:
                 hard.append(w)
-        for at in range(0, len(hard), 500):
-            self._learn(hard[at : at + 500])
+        self._learn(hard)
+        pieces = list(map(known.__getitem__, distinct))
+        table = np.frombuffer(b"".join(pieces), f"<u{self.width}")
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        ends = np.cumsum(sizes[index])
+        # the ids of all words one after the other: each word's place in the table, counted on
+        places = np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - sizes[index]), sizes[index]) + np.arange(ends[-1] if len(ends) else 0)
+        raw = table[places].tobytes()
+        upto = np.concatenate((np.zeros(1, np.int64), ends))[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width
         end = END.to_bytes(self.width, "little")
-        out = [b"".join([*map(known.__getitem__, words), end]) for words in split]
-        if len(known) > REMEMBERED:  # the words met in most calls stay
-            often = nlargest(REMEMBERED // 2, met, key=met.__getitem__)
-            self._known, self._met = {w: known[w] for w in often}, {w: met[w] for w in often}
-        return out
+        return [raw[a:b] + end for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Codes new words as one text and cuts its ids where the words begin."""
+        """Codes new words, many as one text. Words of one piece each are cut behind its last id, others where the ids' offsets say."""
         texts = [w.decode() for w in words]
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        code = self._tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        at = np.fromiter((a for a, _ in code.offsets), np.int64, len(code.ids))
-        cuts = np.searchsorted(at, starts).tolist()
-        ids = np.array(code.ids, f"<u{self.width}")
-        for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
-            self._known[w] = ids[a:b].tobytes()
-            self._met[w] = 1
+        single = [t.isascii() and t.isalpha() or t.lower().isalpha() and is_normalized("NFC", t) for t in texts]
+        for kind in (True, False):
+            some = [(w, t) for w, t, s in zip(words, texts, single, strict=True) if s is kind]
+            for at in range(0, len(some), 500):
+                self._cut(some[at : at + 500], kind)
+
+    def _cut(self, some: list[tuple[bytes, str]], single: bool) -> None:
+        text = " ".join(t for _, t in some)
+        if single:
+            code = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+            ids = np.array(code.ids, f"<u{self.width}")
+            cuts = np.flatnonzero(self._last[ids]) + 1
+            if len(cuts) != len(some):  # another kind of vocabulary
+                return self._cut(some, False)
+            cuts = [0, *cuts.tolist()]
+        else:
+            code = self._tokenizer.encode(text, add_special_tokens=False)
+            ids = np.array(code.ids, f"<u{self.width}")
+            at = np.fromiter((a for a, _ in code.offsets), np.int64, len(ids))
+            cuts = np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for _, t in some)])).tolist()
+        raw, width = ids.tobytes(), self.width
+        self._known.update((w, raw[width * a : width * b]) for (w, _), a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
 
 
 def pack(lane: int, number: int, width: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -140,16 +166,14 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
                 [pa.array([f"shard={lane:08d}-{number:08d}"]), pa.array([pack(lane, number, coder.width, doc_ids, ids)], pa.binary())], ["name", "payload"]
             )
 
-        for part in parts:
-            for at in range(0, part.num_rows, 64):
-                few = part.slice(at, 64)
-                coded = coder.encode(raw_texts(few))
-                doc_ids += few.column("doc_id").to_pylist()
-                ids += coded
-                held += sum(map(len, coded))
-                if held >= SHARD_BYTES:
-                    yield shard()
-                    doc_ids, ids, held, number = [], [], 0, number + 1
+        for few in _groups(parts):
+            coded = coder.encode(raw_texts(few))
+            doc_ids += few.column("doc_id").to_pylist()
+            ids += coded
+            held += sum(map(len, coded))
+            if held >= SHARD_BYTES:
+                yield shard()
+                doc_ids, ids, held, number = [], [], 0, number + 1
         if ids:
             yield shard()
 
@@ -159,6 +183,18 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     shards.select("name", F.col("payload").cast("string").alias("value")).write.partitionBy("name").text(path)
 
 
+def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in groups of at most GROUP_BYTES of text; a longer text is alone."""
+    for part in parts:
+        sizes = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < part.num_rows:
+            limit = (ends[at - 1] if at else 0) + GROUP_BYTES
+            to = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
+            yield part.slice(at, to - at)
+            at = to
+
+
 def _resolved(name: str) -> str:
     import os
 
@@ -173,7 +209,8 @@ def _rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for raw in part.column("content"):
             shard = Shard(raw.as_py())
-            ends = shard.ends.values().astype(np.int64)
+            # one look into the select structure per document
+            ends = np.fromiter((shard.ends[i] for i in range(shard.docs)), np.int64, shard.docs)
             begins = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
             sums = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
             n = len(ends)
