@@ -13,6 +13,7 @@ will do, and a repeated task leaves one copy. A file is one shard and the line e
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ from basketry.session import scratch_path
 END = 1
 #: Bytes of ids in a shard, and words whose ids a task remembers.
 SHARD_BYTES, REMEMBERED = 32 << 20, 600_000
+#: What the tokenizer's splitting leaves together in plain ASCII text without apostrophes.
+PIECES = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 #: Bytes of texts whose words are looked up together.
 GROUP_BYTES = 4 << 20
 #: Shards whose starts are summed up in one window partition.
@@ -94,13 +97,28 @@ class WordCoder:
         return [raw[a:b] + end for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Codes new words, many as one text. Words of one piece each are cut behind its last id, others where the ids' offsets say."""
-        texts = [w.decode() for w in words]
-        single = [t.isascii() and t.isalpha() or t.lower().isalpha() and is_normalized("NFC", t) for t in texts]
-        for kind in (True, False):
-            some = [(w, t) for w, t, s in zip(words, texts, single, strict=True) if s is kind]
+        """Codes new words. Those of one piece and those that need the tokenizer's own splitting are coded many as one text; plain ASCII words of several
+        pieces (letters, single digits, runs of signs) are put together from the ids of these."""
+        single, other, compound = [], [], []
+        for w in words:
+            t = w.decode()
+            if t.isascii():
+                if t.isalpha():
+                    single.append((w, t))
+                elif t.isprintable() and "'" not in t and "<|" not in t:
+                    compound.append((w, PIECES.findall(w)))
+                else:
+                    other.append((w, t))
+            else:
+                (single if t.lower().isalpha() and is_normalized("NFC", t) else other).append((w, t))
+        queued = {w for w, _ in single}
+        for piece in set().union(*(p for _, p in compound)) - self._known.keys() - queued:
+            (single if piece.isalpha() else other).append((piece, piece.decode()))
+        for some, kind in ((single, True), (other, False)):
             for at in range(0, len(some), 500):
                 self._cut(some[at : at + 500], kind)
+        known = self._known
+        known.update((w, b"".join(map(known.__getitem__, parts))) for w, parts in compound)
 
     def _cut(self, some: list[tuple[bytes, str]], single: bool) -> None:
         text = " ".join(t for _, t in some)
