@@ -63,19 +63,6 @@ def test_hot_partition_values_are_written_by_several_tasks(spark):
     assert spark.read.parquet(path).count() == 300_000
 
 
-def test_reconciled_sink_runs_its_input_once(spark):
-    runs = spark.sparkContext.accumulator(0)
-
-    def counted(parts):
-        for part in parts:
-            runs.add(part.num_rows)
-            yield part
-
-    df = spark.range(100).mapInArrow(counted, "id bigint")
-    assert io.write_table(df, scratch_path(spark, "once"), mode="errorifexists", reconcile=True) == 100
-    assert runs.value == 100
-
-
 def test_history_reads_commits_alone(spark):
     path = scratch_path(spark, "versions")
     for version, n in ((1, 5), (2, 7)):
