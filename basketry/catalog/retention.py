@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.catalog import query
 from basketry.catalog.oracle import near, nearly
+from basketry.functions.values import round_double
 from basketry.operators.aggregates import correlated_pairs
 from basketry.plans import retention as r
 
@@ -14,7 +15,10 @@ MEANS = ["average_review_score_to_date", "average_items_per_order", "recency_day
 
 
 def _rounded(df, digits=4, cols=None):
-    return df.withColumns({c: F.round(c, digits) for c in (cols or [*SUMS, *MEANS]) if c in df.columns})
+    kinds = dict(df.dtypes)
+    return df.withColumns(
+        {c: round_double(F.col(c), digits) if kinds[c] == "double" else F.round(c, digits) for c in (cols or [*SUMS, *MEANS]) if c in kinds}
+    )
 
 
 def _training_sql() -> str:
