@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.values import pct
+from basketry.operators.moments import co_moments
 from basketry.operators.ordering import as_list, quantile_columns, with_group_total
 
 
@@ -112,23 +111,16 @@ def quantile_name(p: float) -> str:
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, each pair once: (feature_a, feature_b, correlation).
 
-    One pass: the moments of all pairs are partial aggregates. Pairs are taken
-    in blocks so that each aggregate stays small enough for generated code.
+    One pass for all pairs, each over the rows that know both columns; null with fewer than two of them.
     """
-    blocks = list(combinations(cols, 2))
-    size = 60
-    parts = []
-    for at in range(0, len(blocks), size):
-        block = blocks[at : at + size]
-        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(block)])
-        cells = F.array(
-            *[
-                F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("correlation"))
-                for i, (a, b) in enumerate(block)
-            ]
-        )
-        parts.append(wide.select(F.inline(cells)))
-    return reduce(DataFrame.unionByName, parts)
+    pairs = co_moments(df, cols).filter("a < b")
+    named = F.array(*[F.lit(c) for c in cols])
+    value = F.when(F.col("n") > 1, F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))
+    listed = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("a"))
+    every = listed.join(listed.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    return every.join(pairs, ["a", "b"], "left").select(
+        F.get(named, F.col("a")).alias("feature_a"), F.get(named, F.col("b")).alias("feature_b"), value.alias("correlation")
+    )
 
 
 def correlated_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.8) -> DataFrame:
