@@ -19,8 +19,8 @@ _SCHEMA = "a int, b int, n double, mean_a double, mean_b double, aa double, bb d
 
 
 def columns_of(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
-    """Double columns side by side; null becomes NaN."""
-    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]).astype(float)
+    """Double columns, one in a row of the result, as they lie in memory; null becomes NaN."""
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]).astype(float, copy=False)
 
 
 def merged(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -37,31 +37,36 @@ def merged(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def of_batch(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Cells of all pairs of columns, each pair over the rows that know both."""
+    """Cells of all pairs of columns, each pair over the rows that know both. A column is a row of `x`."""
     # moved by a value of the column itself, so that a constant column's deviations are exactly 0
-    shift = x[known.argmax(0), np.arange(x.shape[1])]
-    shift = np.where(known.any(0) & np.isfinite(shift), shift, 0.0)
-    m, z = known.astype(float), np.where(known, x - shift, 0.0)
-    n, sa, saa, sab = m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z
+    shift = x[np.arange(len(x)), known.argmax(1)]
+    shift = np.where(known.any(1) & np.isfinite(shift), shift, 0.0)
+    z = x - shift[:, None]
+    whole = known.all()
+    if not whole:
+        z[~known] = 0.0
+    if whole:
+        n, sab = np.full((len(x), len(x)), float(x.shape[1])), z @ z.T
+        sa, saa = (np.repeat(v[:, None], len(x), 1) for v in (z.sum(1), np.diag(sab)))
+    else:
+        m = known.astype(float)
+        n, sa, saa, sab = m @ m.T, z @ m.T, (z * z) @ m.T, z @ z.T
     some = np.maximum(n, 1.0)
     aa = saa - sa * sa / some
     return np.stack([n, sa / some + shift[:, None], sa.T / some + shift[None, :], aa, aa.T, sab - sa * sa.T / some])
 
 
-def co_moments(df: DataFrame, cols: Sequence[str], own: bool = False) -> DataFrame:
-    """One row per pair of columns (by place, a <= b): rows that know both, their means, sums of squared deviations and of their products.
-
-    With `own` each column is paired with itself alone.
-    """
+def co_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per pair of columns (by place, a <= b): rows that know both, their means, sums of squared deviations and of their products."""
     cols, names = list(cols), [f"c{k}" for k in range(len(cols))]
-    rows, places = np.diag_indices(len(cols)) if own else np.triu_indices(len(cols))
+    rows, places = np.triu_indices(len(cols))
 
     def local(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for part in parts:
             if not part.num_rows:
                 continue
-            known = np.column_stack([part.column(c).is_valid().to_numpy(zero_copy_only=False) for c in names])
+            known = np.stack([part.column(c).is_valid().to_numpy(zero_copy_only=False) for c in names])
             with np.errstate(invalid="ignore", over="ignore"):
                 found = of_batch(columns_of(part, names), known)
                 total = found if total is None else merged(total, found)
