@@ -178,3 +178,49 @@ def test_early_stopping_reads_every_patience_from_one_curve(spark):
     assert out[0]["best_score"] >= out[1]["best_score"] and all(r["validation_mae"] <= r["best_score"] + 1e-9 for r in out)
     swept = demand.sweep({"small": {"rounds": 3, "depth": 2}, "lags": {"rounds": 5, "features": demand.LAG_FEATURES}}, train, valid).collect()
     assert {(r["experiment"], r["feature_count"], r["trees"]) for r in swept} == {("small", 26, 3), ("lags", 7, 5)}
+
+
+def test_driver_gets_splits_and_not_sums(spark, monkeypatch):
+    import pickle
+
+    from pyspark import RDD
+
+    draw = random.Random(5)
+    rows = [(draw.gauss(0, 1), draw.gauss(0, 1), draw.random()) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    sizes, collect = [], RDD.collect
+
+    def measured(self):
+        out = collect(self)
+        sizes.append(len(pickle.dumps(out)))
+        return out
+
+    monkeypatch.setattr(RDD, "collect", measured)
+    model = boosting.fit(df, "y", Options(("a", "b"), 2, 4, 1.0))
+    assert len(model.edges[0]) > 200 and len(sizes) >= 8 and max(sizes) < 3000
+
+
+def test_columns_in_groups_give_the_splits_of_all(spark, monkeypatch):
+    df = table(spark).select("y", *[(F.col(c) * (k % 3 + 1)).alias(f"{c}{k}") for k in range(3) for c in COLS])
+    option = Options(tuple(df.columns[1:]), 3, 3, 3.0, columns=1.0)
+    grouped = boosting.fit(df, "y", option)
+    monkeypatch.setattr(boosting, "GROUP", 100)
+    whole = boosting.fit(df, "y", option)
+    for one, other in zip(grouped.trees, whole.trees, strict=True):
+        assert (one.feature == other.feature).all() and (one.cut == other.cut).all() and (one.value == other.value).all()
+
+
+def test_places_follow_each_row_from_the_root():
+    draw = np.random.default_rng(4)
+    for depth in (1, 3, 8):
+        tree = boosting.Tree.root(depth)
+        for at in range(2**depth - 1):
+            if (at == 0 or tree.feature[(at - 1) // 2] >= 0) and draw.random() < 0.9:
+                tree.feature[at], tree.cut[at], tree.missing_left[at] = draw.integers(3), draw.integers(254), draw.random() < 0.5
+        bins = draw.integers(0, 256, (200, 3)).astype(np.uint8)
+        for row, got in zip(bins, tree.places(bins), strict=True):
+            at = 0
+            while tree.feature[at] >= 0:
+                b = row[tree.feature[at]]
+                at = 2 * at + 1 + (not tree.missing_left[at] if b == MISSING else b > tree.cut[at])
+            assert got == at
