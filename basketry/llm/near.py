@@ -1,6 +1,6 @@
-"""Near-duplicates of Jaccard 0.8 and more on five-word shingles: MinHash bands show candidates, rare shingles their pairs, each link is verified.
+"""Near-duplicates of Jaccard 0.8 and more on five-word shingles: SimHash balls and MinHash bands show candidates, rare shingles their pairs, each link is verified.
 
-A SimHash within 3 bits (`simhash.py`) is no test for this: Jaccard 0.8 lies near 10 of 64 bits.
+Balls of 3 bits (`simhash.py`) alone don't find them all: Jaccard 0.8 lies near 10 of 64 bits. So bands show candidates beside them.
 """
 
 from __future__ import annotations
@@ -67,12 +67,15 @@ def bands(own: np.ndarray) -> list[int]:
 
 
 def _sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The document's key, `cls`, which equal sets of shingles share, and the bands."""
+    """The document's key, `cls`, which equal sets of shingles share, the SimHash of its set and the bands."""
+    from basketry.llm.simhash import majority
+
     for part in parts:
         sets = [distinct_shingles(t) for t in raw_texts(part, "text")]
+        fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
         cls = np.array([xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
         keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(cls), keys], ["id", "row", "cls", "bands"])
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(cls), pa.array(fps), keys], ["id", "row", "cls", "fp", "bands"])
 
 
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,16 +184,30 @@ def links(active: DataFrame, sets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.select("u", "v") for f in found], none)
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """(cls): the classes of `classes(cls, fp, bands)` that may have a near one, as a fingerprint lies within 3 bits of theirs or a band is shared."""
+    from basketry.llm import simhash
+
+    prints = classes.filter(F.size("bands") > 0).groupBy("fp").agg(F.count("*").alias("n"))
+    balls = stored(simhash.links(prints.select("fp")), "near-balls")
+    release(classes.sparkSession)
+    close = prints.filter("n > 1").select("fp").unionByName(balls.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
+    places = classes.select("cls", F.explode("bands").alias("key"))
+    shared = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    by_band = places.join(shared, "key", "left_semi").select("cls")
+    by_ball = classes.filter(F.size("bands") > 0).join(close, "fp", "left_semi").select("cls")
+    return by_ball.unionByName(by_band).distinct()
+
+
 def heads(docs: DataFrame) -> DataFrame:
     """(id, row): the first row of each component of `docs(id, row, text)` by id and row.
 
-    Bands choose the classes that may have a near one; which pairs of these are compared is decided by the shingles themselves.
+    SimHash balls and bands choose the classes that may have a near one; which pairs of these are compared is decided by the shingles themselves.
     """
-    each = docs.select("id", "row", "text").mapInArrow(_sketch, f"id {docs.schema['id'].dataType.simpleString()}, row string, cls bigint, bands array<bigint>")
-    classes = stored(each.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("head"), F.first("bands").alias("bands")), "near-classes")
-    places = classes.select("cls", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    chosen = places.join(shared, "key", "left_semi").select("cls").distinct()
+    each = docs.select("id", "row", "text").mapInArrow(_sketch, f"id {docs.schema['id'].dataType.simpleString()}, row string, cls bigint, fp bigint, bands array<bigint>")
+    found = each.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("head"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = stored(found, "near-classes")
+    chosen = candidates(classes)
     asked = classes.join(chosen, "cls").select("cls", "head.id", "head.row")
     texts = docs.select("id", "row", "text").join(asked, ["id", "row"]).dropDuplicates(["cls"])
     sets = stored(texts.select("cls", "text").mapInArrow(_sets, "cls bigint, own binary"), "near-sets")

@@ -22,7 +22,11 @@ _ONE = np.uint64(1)
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
     """64-bit SimHash over `width`-word shingles, repeats included; zero without words."""
-    hashes = shingles(text, width)
+    return majority(shingles(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero without any."""
     if not len(hashes):
         return 0
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -17,7 +17,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard 0.8 of five-word shingles), the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (Jaccard 0.8 of five-word shingles), the one with the smallest doc_id.
+
+    SimHash balls and MinHash bands show which documents may have near ones, and every link is verified.
+    """
     return near.keep_one(docs)
 
 

@@ -111,3 +111,24 @@ def test_pairs_just_above_the_limit_share_a_band():
         x, y = (near.distinct_shingles(t.encode()) for t in (" ".join(base), copy))
         missed += not set(near.bands(x)) & set(near.bands(y))
     assert missed <= 1
+
+
+def test_balls_show_near_texts_that_share_no_band(spark, none, monkeypatch):
+    """One word of a long text changes few bits of its SimHash; with bands of their own, only balls show such pairs."""
+    draw = random.Random(8)
+    word = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(6):
+        base = draw.choices(word, k=20_000)
+        texts += [" ".join(base), *copies(draw, base, 1, 1)]
+    texts += [" ".join(draw.choices(word, k=300)) for _ in range(5)] + ["", "one"]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], none.schema)
+    sketch = near._sketch
+
+    def apart(parts):
+        for part in sketch(parts):
+            keys = [[c] if b else [] for c, b in zip(part.column("cls").to_pylist(), part.column("bands").to_pylist(), strict=True)]
+            yield part.set_column(part.schema.get_field_index("bands"), "bands", near.pa.array(keys, near.pa.list_(near.pa.int64())))
+
+    monkeypatch.setattr(near, "_sketch", apart)
+    assert sorted(r["doc_id"] for r in near.keep_one(df).collect()) == sorted(first_of(dict(enumerate(texts)))) == [0, 2, 4, 6, 8, 10, *range(12, 19)]
