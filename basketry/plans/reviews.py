@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,7 @@ from basketry.operators.ordering import quantile_columns
 from basketry.operators.quality import check_token_preserved
 from basketry.operators.topk import top_n
 from basketry.plans.models import balanced_weight
+from basketry.session import discard, stored
 
 # Words a normalization must not lose.
 NEGATIONS = ["não", "nao", "nunca", "sem"]
@@ -245,15 +247,36 @@ def terms(text: Column, ngrams: tuple[int, int] = (1, 2)) -> Column:
     return F.flatten(grams)
 
 
+def document_terms(docs: DataFrame, id: str, text: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
+    """(document, terms): the terms of all texts under one id, with repeats. Texts move once, by document."""
+    texts = docs.filter(F.col(id).isNotNull()).groupBy(id).agg(F.collect_list(text).alias("texts"))
+    return texts.select(id, F.flatten(F.transform("texts", lambda t: terms(t, ngrams))).alias("terms"))
+
+
+def _runs(words: Column) -> Column:
+    """Distinct entries of an array and how often each occurs, without leaving the row: the runs of the sorted array."""
+
+    def of_sorted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(
+            F.array(starts),
+            lambda at: F.transform(at, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(s)) - i).cast("long").alias("tf"))),
+        )
+
+    # as lambdas' variables, the sorted array and its starts are found once
+    return F.flatten(F.flatten(F.transform(F.filter(F.array(F.sort_array(words)), lambda s: F.size(s) > 0), of_sorted)))
+
+
 def term_counts(docs: DataFrame, id: str, text: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
     """(document, term, tf).
 
     Texts are hashed by document first: that moves each text once, and everything
-    done per document afterwards, this count included, needs no shuffle of its many terms.
+    done per document afterwards, this count included, needs no shuffle of its many terms. Texts without an id count as one document, which
+    may be large, so its terms are counted by an aggregate.
     """
-    placed = docs.select(id, text).repartition(F.col(id))
-    spread = placed.select(id, F.explode(terms(F.col(text), ngrams)).alias("term"))
-    return spread.groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = document_terms(docs, id, text, ngrams).select(id, F.inline(_runs(F.col("terms"))))
+    rest = docs.filter(F.col(id).isNull()).select(id, F.explode(terms(F.col(text), ngrams)).alias("term"))
+    return known.unionByName(rest.groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def vocabulary(counts: DataFrame, documents: int, min_df: int = 2, max_df: float = 0.95, max_terms: int | None = 100_000) -> DataFrame:
@@ -293,27 +316,34 @@ def tfidf(
     return raw.select(id, "term", (F.col("w") / norm).alias("weight"))
 
 
-@F.udf(VectorUDT())
-def _sparse(size, indices, weights):
-    return Vectors.sparse(size, indices or [], weights or [])
+def term_vectors(docs: DataFrame, id: str, text: str, vocab: Sequence[tuple[str, float]], name: str = "features") -> DataFrame:
+    """One sparse vector per document over the (term, idf) of `vocab`; a document without known terms or without id gets the empty vector.
 
+    Terms are looked up and weighed where a document's text lies, so no term is shuffled.
+    """
+    # no term is empty, so an empty vocabulary still has one slot
+    slots, idf = [t for t, _ in vocab] or [""], np.array([v for _, v in vocab] or [1.0])
+    size = len(slots)
 
-def term_vectors(docs: DataFrame, id: str, text: str, vocab: DataFrame, size: int, name: str = "features") -> DataFrame:
-    """One sparse vector per document; a document without known terms gets the empty vector."""
-    weights = tfidf(docs, id, text, vocab=vocab, max_terms=size).join(_bounded(vocab.select("term", "slot"), size), "term")
-    packed = weights.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("e"))
-    whole = docs.join(packed, id, "left")
-    return whole.withColumn(name, _sparse(F.lit(size), F.col("e.slot"), F.col("e.weight"))).drop("e")
+    @F.udf(VectorUDT())
+    def weighed(counts):
+        if counts is None:
+            return Vectors.sparse(size, [], [])
+        w = (1.0 + np.log(counts.values)) * idf[counts.indices]
+        return Vectors.sparse(size, counts.indices, w / np.sqrt(w @ w))
+
+    counted = CountVectorizerModel.from_vocabulary(slots, "terms", "__counts").transform(document_terms(docs, id, text))
+    return docs.join(counted.select(id, "__counts"), id, "left").withColumn(name, weighed("__counts")).drop("__counts")
 
 
 class TextClassifier:
-    """Term-weight classifier: a vocabulary with slots and a fitted logistic model."""
+    """Term-weight classifier: a vocabulary with weights, in the order of its slots, and a fitted logistic model."""
 
-    def __init__(self, vocab: DataFrame, size: int, model, classes: list[str]):
-        self.vocab, self.size, self.model, self.classes = vocab, size, model, classes
+    def __init__(self, vocab: list[tuple[str, float]], model, classes: list[str]):
+        self.vocab, self.model, self.classes = vocab, model, classes
 
     def predict(self, docs: DataFrame, id: str, text: str) -> DataFrame:
-        vectors = term_vectors(docs, id, text, self.vocab, self.size)
+        vectors = term_vectors(docs, id, text, self.vocab)
         names = F.array(*[F.lit(c) for c in self.classes])
         out = self.model.transform(vectors)
         return out.withColumn("predicted_class", F.element_at(names, F.col("prediction").cast("int") + 1)).drop(
@@ -326,22 +356,20 @@ def fit_text_classifier(
 ) -> TextClassifier:
     """Logistic regression on term weights; class i of `classes` is label value i.
 
-    The vocabulary is stored once, so that training and prediction number its terms alike.
+    The vocabulary, at most `max_terms` rows, is collected once, so that training and prediction number its terms alike. The vectors are
+    stored for the fit, which reads them more than once.
     """
-    from basketry.session import cut_lineage
-
     rows = train.count()
-    vocab = vocabulary(term_counts(train, id, text), rows, max_terms=max_terms)
-    # at most `max_terms` rows are numbered
-    vocab = cut_lineage(vocab.withColumn("slot", F.row_number().over(Window.orderBy("term")) - 1))
-    size = max(vocab.count(), 1)
+    kept = vocabulary(term_counts(train, id, text), rows, max_terms=max_terms)
+    vocab = [(r["term"], r["idf"]) for r in kept.orderBy("term").select("term", "idf").collect()]
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
-    vectors = term_vectors(train.withColumn("__y", index.cast("double")), id, text, vocab, size)
+    vectors = stored(term_vectors(train.withColumn("__y", index.cast("double")), id, text, vocab).select("__y", "features"), "term-vectors")
     model = LogisticRegression(
         featuresCol="features", labelCol="__y", regParam=1.0 / rows, standardization=False, maxIter=max_iter,
         family="multinomial" if len(classes) > 2 else "binomial",
     ).fit(vectors)
-    return TextClassifier(vocab, size, model, list(classes))
+    discard(vectors)
+    return TextClassifier(vocab, model, list(classes))
 
 
 def fit_embedding_classifier(train: DataFrame, vec: str, target: str, max_iter: int = 2000) -> PipelineModel:

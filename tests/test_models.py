@@ -147,3 +147,22 @@ def test_embedding_scaling_is_by_the_population_deviation(spark):
     got = model.transform(reviews.embedding_vectors(df, "v")).select("features").collect()
     for k in range(2):
         assert abs(sum(r["features"][k] ** 2 for r in got) / 20 - 1) < 1e-9
+
+
+def test_term_counts_and_vectors_with_repeated_and_missing_ids(spark):
+    """Texts under one id are one document, texts without id count as one and get no vector, and no term is shuffled by its document."""
+    docs = spark.createDataFrame([(1, "um bom produto bom"), (1, "bom nada"), (2, "bom produto"), (3, ""), (4, None), (None, "um bom"), (None, "um ruim")], "id int, text string")
+    counts = reviews.term_counts(docs, "id", "text")
+    got = {(r.id, r.term): r.tf for r in counts.collect()}
+    assert got == {
+        (1, "um"): 1, (1, "bom"): 3, (1, "produto"): 1, (1, "nada"): 1, (1, "um bom"): 1, (1, "bom produto"): 1, (1, "produto bom"): 1, (1, "bom nada"): 1,
+        (2, "bom"): 1, (2, "produto"): 1, (2, "bom produto"): 1, (None, "um"): 2, (None, "bom"): 1, (None, "um bom"): 1, (None, "ruim"): 1, (None, "um ruim"): 1,
+    }
+    vectors = reviews.term_vectors(docs, "id", "text", [("bom", 2.0), ("produto", 1.0)])
+    out = [(r.id, r.features.toArray().tolist()) for r in vectors.collect()]
+    first = np.array([2 * (1 + math.log(3)), 1.0])
+    assert sorted(v for k, v in out if k == 1) == [pytest.approx((first / np.linalg.norm(first)).tolist())] * 2
+    assert [v for k, v in out if k == 2] == [pytest.approx([2 / math.sqrt(5), 1 / math.sqrt(5)])]
+    assert [v for k, v in out if k not in (1, 2)] == [[0.0, 0.0]] * 4
+    plan = vectors._sc._jvm.PythonSQLUtils.explainString(vectors._jdf.queryExecution(), "formatted")
+    assert "Window" not in plan and "Generate" not in plan
