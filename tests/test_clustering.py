@@ -62,6 +62,21 @@ def test_jobs_do_not_grow_with_starts(spark, points):
     assert jobs([Start(3, s) for s in range(12)]) == jobs([Start(3, 0)])
 
 
+def test_points_of_few_files_are_dealt_over_all_cores(spark):
+    df = spark.createDataFrame([(r,) for r in cloud(4000).tolist()], "v array<double>").coalesce(1)
+    table = clustering.with_points(df, F.col("v"))
+    sizes = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes)
+    discard(table)
+
+
+def test_sums_of_equally_near_centres_go_to_the_first():
+    x = np.array([[0.0, 0.0], [2.0, 0.0], [1.0, 0.0], [5.0, 1.0]])
+    centres = np.array([[0.0, 0.0], [2.0, 0.0], [2.0, 0.0]])
+    got = clustering._cluster_sums(clustering.Points(x, np.arange(4)), centres)
+    assert got.tolist() == [[2, 1, 1, 1, 0], [2, 10, 30, 7, 1], [0, 0, 0, 0, 0]]
+
+
 def test_starts_find_the_groups(points):
     x, _, table = points
     fits = clustering.fit_starts(table, [Start(5, s) for s in range(10)])
