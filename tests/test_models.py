@@ -108,6 +108,19 @@ def test_tfidf_by_hand(spark):
     assert all(got[k] == pytest.approx(w / norms[k[0]]) for k, w in raw.items())
 
 
+def test_tfidf_partitions_follow_the_texts(spark, monkeypatch):
+    """What a task holds is set by the bytes of text and not by the session's number of shuffle partitions; frequent terms and the others weigh the same."""
+    docs = spark.createDataFrame([*((i, f"um produto w{i % 7} x{i} um") for i in range(60)), (None, "um w1 w2"), (70, None)], "id int, text string")
+    want = {(r.id, r.term): r.weight for r in reviews.tfidf(docs, "id", "text", max_terms=None).collect()}
+    monkeypatch.setattr(reviews, "PART_BYTES", 64)
+    monkeypatch.setattr(reviews, "FREQUENT", 3)
+    weights = reviews.tfidf(docs, "id", "text", max_terms=None)
+    assert weights.rdd.getNumPartitions() == reviews.text_parts(docs, "text")[1] > 10
+    got = {(r.id, r.term): r.weight for r in weights.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(w) for k, w in want.items()) and (None, "w1") in got
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 def test_text_classifier_learns_words(spark):
     docs = spark.createDataFrame([(i, "muito bom produto" if i % 2 else "produto ruim demais", "pos" if i % 2 else "neg") for i in range(40)], "id int, text string, label string")
     model = reviews.fit_text_classifier(docs, "id", "text", "label", ["neg", "pos"], max_iter=10)
