@@ -199,9 +199,19 @@ def as_of_history(
 def happens_within(facts: DataFrame, cutoffs: DataFrame, key: str, time: str, days: int) -> DataFrame:
     """Distinct (key, cutoff) with a fact in (cutoff, cutoff + days]."""
     placed = attach_cutoffs(facts.filter(F.col(key).isNotNull()), cutoffs)
+    return placed.select(key, F.explode(_followed(time, days)).alias("cutoff_timestamp")).distinct()
+
+
+def listed_within(facts: DataFrame, cutoffs: DataFrame, key: str, time: str, days: int, name: str = "cutoffs_within") -> DataFrame:
+    """The same as one row per key: the array of its cutoffs, each once. Keys without any have no row."""
+    placed = attach_cutoffs(facts.filter(F.col(key).isNotNull()), cutoffs)
+    return placed.select(key, F.explode(_followed(time, days)).alias("__at")).groupBy(key).agg(F.collect_set("__at").alias(name))
+
+
+def _followed(time: str, days: int) -> Column:
+    """The cutoffs that a fact follows by at most `days`."""
     span = F.make_dt_interval(F.lit(days))
-    at = F.filter("cutoffs", lambda c: (F.col(time) > c) & (F.col(time) <= c + span))
-    return placed.select(key, F.explode(at).alias("cutoff_timestamp")).distinct()
+    return F.filter("cutoffs", lambda c: (F.col(time) > c) & (F.col(time) <= c + span))
 
 
 def fill_calendar(

@@ -18,7 +18,7 @@ from basketry.functions.dates import days_between
 from basketry.functions.text import has_word
 from basketry.functions.values import pct
 from basketry.operators.aggregates import unpivot_row
-from basketry.operators.joins import happens_within, orphans
+from basketry.operators.joins import listed_within, orphans
 from basketry.operators.ordering import as_list
 from basketry.operators.sets import union_all
 
@@ -413,11 +413,17 @@ def audit_target(
     training: DataFrame, orders: DataFrame, key: str = "customer_unique_id", time: str = "order_purchase_timestamp",
     snapshot: str = "snapshot_timestamp", target: str = "repeat_purchase_90d", days: int = 90,
 ) -> DataFrame:
-    """Label rebuilt from the orders: rows per snapshot and how many labels disagree."""
+    """Label rebuilt from the orders: rows per snapshot and how many labels disagree.
+
+    Labels and cutoffs followed by an order move as one list per customer, so a customer's key is shuffled once and not per snapshot.
+    """
     cutoffs = training.select(F.col(snapshot).alias("cutoff_timestamp")).distinct()
-    hits = happens_within(orders, cutoffs, key, time, days).withColumnRenamed("cutoff_timestamp", snapshot)
-    rebuilt = training.select(key, snapshot, target).join(hits.withColumn("__hit", F.lit(1)), [key, snapshot], "left")
-    return rebuilt.groupBy(snapshot).agg(
+    hits = listed_within(orders, cutoffs, key, time, days, "__hits")
+    known = training.filter(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct(snapshot, target)).alias("__labels"))
+    rebuilt = known.join(hits, key, "left").select(F.inline("__labels"), "__hits").withColumn("__hit", F.array_contains("__hits", F.col(snapshot)).cast("int"))
+    # rows without a key have no orders
+    rest = training.filter(F.col(key).isNull()).select(snapshot, target, F.lit(0).alias("__hit"))
+    return rebuilt.select(snapshot, target, "__hit").unionByName(rest).groupBy(snapshot).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col(target) != F.coalesce("__hit", F.lit(0))).alias("mismatches"),
     )

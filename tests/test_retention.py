@@ -4,6 +4,7 @@ import random
 import pytest
 
 from basketry.operators.joins import as_of_history, happens_within
+from basketry.operators.quality import audit_target
 from basketry.plans import retention as r
 from pyspark.sql import functions as F
 
@@ -91,3 +92,19 @@ def test_split_is_complete(world):
     assert split.filter("split is null").count() == 0
     spans = {x.split: (x.a, x.b) for x in split.groupBy("split").agg(F.min("order_purchase_timestamp").alias("a"), F.max("order_purchase_timestamp").alias("b")).collect()}
     assert spans["train"][1] < spans["validation"][0] and spans["validation"][1] < spans["test"][0]
+
+
+def test_audit_rebuilds_labels_without_moving_a_key_per_snapshot(spark, rows):
+    """Null keys, repeated and wrong labels; customers and not (customer, snapshot) pairs are joined."""
+    days = [dt.datetime(2020, 1, d) for d in (1, 11, 21)]
+    labels = [("a", days[0], 1), ("a", days[0], 1), ("a", days[1], 1), ("a", days[2], 0), ("b", days[0], 1), ("b", None, 1), (None, days[1], 1), (None, days[1], 0), ("c", days[2], None)]
+    training = spark.createDataFrame(labels, "customer_unique_id string, snapshot_timestamp timestamp, repeat_purchase_90d int")
+    orders = spark.createDataFrame(
+        [("a", dt.datetime(2020, 1, 5)), ("a", dt.datetime(2020, 1, 21)), ("b", dt.datetime(2020, 1, 1)), (None, dt.datetime(2020, 1, 2)), ("c", None)],
+        "customer_unique_id string, order_purchase_timestamp timestamp",
+    )
+    report = audit_target(training, orders, days=10)
+    assert rows(report) == sorted([(days[0], 3, 1), (days[1], 3, 1), (days[2], 2, 0), (None, 1, 1)], key=repr)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert joined and not any("snapshot_timestamp" in line for line in joined)
