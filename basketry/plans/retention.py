@@ -281,8 +281,8 @@ def point_in_time(
     # where is each product, category and seller of a customer first seen?
     things = F.array(
         *[
-            F.struct(F.lit(kind).alias("kind"), F.col(col).cast("string").alias("thing"))
-            for kind, col in (("products", "product_id"), ("categories", "product_category_name"), ("sellers", "seller_id"))
+            F.struct(F.lit(kind).cast("tinyint").alias("kind"), F.col(col).cast("string").alias("thing"))
+            for kind, col in enumerate(("product_id", "product_category_name", "seller_id"))
         ]
     )
     # an order's cutoff is found before its lines are joined, so the list is searched once per order and not once per thing
@@ -297,7 +297,7 @@ def point_in_time(
         .agg(F.min("at").alias("at"))
     )
     kinds = ["products", "categories", "sellers"]
-    firsts = firsts.select(KEY, "at", *[(F.col("kind") == k).cast("int").alias(k) for k in kinds])
+    firsts = firsts.select(KEY, "at", *[(F.col("kind") == i).cast("int").alias(k) for i, k in enumerate(kinds)])
     # one grouping takes all contributions: combined in each task, then shuffled by customer once
     steps = facts.unionByName(firsts, allowMissingColumns=True)
     if strict_asof:
