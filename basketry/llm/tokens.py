@@ -13,10 +13,12 @@ will do, and a repeated task leaves one copy. A file is one shard and the line e
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -31,12 +33,12 @@ from basketry.llm.elias_fano import EliasFano, encode
 from basketry.session import scratch_path
 
 END = 1
-#: Bytes of ids in a shard, and words whose ids a task remembers.
+#: Bytes of ids in a shard, and words whose ids a Python worker remembers.
 SHARD_BYTES, REMEMBERED = 32 << 20, 600_000
 #: What the tokenizer's splitting leaves together in plain ASCII text without apostrophes.
 PIECES = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 #: Bytes of texts whose words are looked up together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 #: Shards whose starts are summed up in one window partition.
 LANE = 4096
 MAGIC = b"IDSHARD1"
@@ -138,6 +140,17 @@ class WordCoder:
         self._known.update((w, raw[width * a : width * b]) for (w, _), a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
 
 
+def worker_coder(path: str) -> WordCoder:
+    """The coder of this Python worker, which keeps its words from task to task as long as the tokenizer file stays as it is."""
+    state = os.stat(path)
+    return _coder(path, state.st_mtime_ns, state.st_size)
+
+
+@lru_cache(maxsize=1)
+def _coder(path: str, changed: int, size: int) -> WordCoder:
+    return WordCoder(path)
+
+
 def pack(lane: int, number: int, width: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     """One shard; documents without doc_id are first."""
     named = [d for d in doc_ids if d is not None]
@@ -174,7 +187,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, lane, number = WordCoder(_resolved(tokenizer)), TaskContext.get().partitionId(), 0
+        coder, lane, number = worker_coder(_resolved(tokenizer)), TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
         held = 0
@@ -214,8 +227,6 @@ def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _resolved(name: str) -> str:
-    import os
-
     if os.path.isabs(name):
         return name
     import public_tokenizers

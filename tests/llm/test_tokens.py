@@ -46,6 +46,24 @@ def test_word_by_word_ids_are_the_ids_of_the_text(documents):
         assert np.frombuffer(ids, "<u2").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1], t[:60]
 
 
+def test_a_worker_keeps_its_words_from_task_to_task(tmp_path, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [b"Plain words, once met. don't 12 x-y \xc3\xa9t\xc3\xa9", None, b""]
+    first = tokens.worker_coder(path).encode(texts)
+    asked = []
+    monkeypatch.setattr(tokens.WordCoder, "_cut", lambda self, some, single: asked.append(some))
+    assert tokens.worker_coder(path).encode(texts) == first
+    assert asked == []
+    monkeypatch.undo()
+    # another file gets a coder of its own, and so does a file that has changed
+    other = tmp_path / "tokenizer.json"
+    other.write_bytes(open(path, "rb").read())
+    coder = tokens.worker_coder(str(other))
+    assert coder is tokens.worker_coder(str(other))
+    other.write_bytes(open(path, "rb").read() + b"\n")
+    assert tokens.worker_coder(str(other)) is not coder
+
+
 def expected(rows):
     whole, start, out = tokenizer(), 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
