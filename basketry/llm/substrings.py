@@ -3,6 +3,8 @@
 Which shard holds a window is decided by its minimizer, the smallest hash of its eight-word sequences: equal windows have equal
 minimizers and meet in one shard. The windows of a document that share a minimizer's place are consecutive and form a piece.
 Pieces whose minimizer occurs in one document only can't repeat and need no index.
+
+Texts are shuffled once, into buckets by document; lists of pieces and ranges go to the texts, and not the texts to them.
 """
 
 from __future__ import annotations
@@ -12,16 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from basketry.llm.common import discard, raw_texts, release, spread, stored
+from basketry.llm.common import bucketed, discard, raw_texts, release, spread, stored
 from basketry.llm.fm_index import FMIndex
 
 WIDTH, GRAM = 50, 8
 #: Words of one shard. A minimizer with more words than this in its distinct pieces is spread window by window.
 SHARD_WORDS = 500_000
+#: What tells rows of documents apart, and bytes of text in a bucket of them.
+KEY, BUCKET_BYTES = ["doc_id", "tid"], 16 << 20
 
 
 def pieces(words: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,10 +166,24 @@ def _search(width: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
+def by_document(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, tid, text) of `docs(doc_id, text)` in buckets by document, and the number of buckets."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    parts = spread(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_BYTES)
+    texts = bucketed(rows, "texts", KEY, parts)
+    release(docs.sparkSession)  # the shuffle of the texts
+    return texts, parts
+
+
+def _listed(rows: DataFrame, what: Column, name: str, parts: int) -> DataFrame:
+    """What belongs to each document as one list, dealt like the buckets of texts."""
+    return rows.repartition(parts, *KEY).groupBy(*KEY).agg(F.collect_set(what).alias(name))
+
+
+def repeated_ranges(docs: DataFrame, parts: int, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, tid, ranges): word ranges [a, b) of each document of `docs(doc_id, tid, text)` that a smaller doc_id holds too.
 
-    `tid` tells apart rows of the same doc_id; rows equal in both are one. Rows without doc_id take no part.
+    `tid` tells apart rows of the same doc_id; rows equal in both are one. Rows without doc_id take no part. `docs` lies in `parts` buckets.
     """
     spark = docs.sparkSession
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -181,23 +199,23 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, shard_words: int = SHAR
     contents = distinct(some)
     hot = stored(contents.groupBy("mz").agg(F.sum(size).alias("n")).filter(F.col("n") > shard_words).select("mz"), "hot-minimizers")
     if not hot.isEmpty():  # too many different pieces around one minimizer: their windows go by their own digests
-        cut = some.join(hot, "mz", "left_semi").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "last")).alias("own"))
-        texts = named.select("doc_id", "tid", "text").join(cut, ["doc_id", "tid"])
+        cut = _listed(some.join(hot, "mz", "left_semi"), F.struct("first", "last"), "own", parts)
+        texts = named.select("doc_id", "tid", "text").join(cut, KEY)
         some = stored(some.join(hot, "mz", "left_anti").unionByName(texts.mapInArrow(_single_windows(width), _PIECES)), "split-pieces")
         contents = distinct(some)
     release(spark)
     total = contents.agg(F.sum(size)).first()[0] or 0
     # of a shard's minimizers none is large, so a shard stays near its size
     homes = contents.withColumn("shard", F.pmod(F.xxhash64("mz"), F.lit(spread(total, shard_words))))
-    own = homes.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("mz", "first", "last", "digest", "shard")).alias("own"))
-    texts = named.select("doc_id", "tid", "text").join(own, ["doc_id", "tid"])
+    own = _listed(homes, F.struct("mz", "first", "last", "digest", "shard"), "own", parts)
+    texts = named.select("doc_id", "tid", "text").join(own, KEY)
     cut = texts.mapInArrow(_cut(width), "shard bigint, mz bigint, digest bigint, owner bigint, words binary")
     found = cut.groupBy("shard").applyInArrow(_search(width), "mz bigint, digest bigint, from_window bigint, to_window bigint, smallest bigint")
     found = stored(found, "matches")
     release(spark)
     hits = some.select("doc_id", "tid", "first", "mz", "digest").join(found, ["mz", "digest"]).filter("smallest < doc_id")
     span = F.struct((F.col("first") + F.col("from_window")).alias("a"), (F.col("first") + F.col("to_window") + width).alias("b"))
-    return hits.groupBy("doc_id", "tid").agg(F.collect_set(span).alias("ranges"))
+    return _listed(hits, span, "ranges", parts)
 
 
 def _kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +245,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, shard_words: int = SHARD_W
     input. Texts that are null, empty or shorter than a window keep all words. Rows with the same doc_id don't remove from each other, nor
     does a row without doc_id from or to any. Other columns are ignored.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
-    ranges = repeated_ranges(rows, width, shard_words)
-    joined = rows.join(ranges, ["doc_id", "tid"], "left").select("doc_id", "text", "ranges")
+    rows, parts = by_document(docs)
+    ranges = repeated_ranges(rows, parts, width, shard_words)
+    joined = rows.join(ranges, KEY, "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import brute
 import numpy as np
@@ -52,6 +53,26 @@ def test_odd_rows(odd, none, clashing):
     assert substrings.deduplicated(clashing).count() == odd.count()
 
 
+def test_texts_are_dealt_once(spark, odd, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 2000)
+    docs = planted()
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), len(spark.catalog.listTables())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substrings.deduplicated(frame)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # the lists of ranges go to the buckets of texts, which stay where they are
+        assert len(re.findall(r"hashpartitioning\(doc_id#\d+L?, tid#\d+L?", plan)) == 1
+        assert "Bucketed: true" in plan
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.collect()} == brute.substrings(docs)
+        got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.deduplicated(odd).collect()]
+        assert len(got) == odd.count() and (7, 12_001, 12_000) in got and got.count((None, 0, 0)) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+    assert len(spark.catalog.listTables()) == before[1]
+
+
 def test_ranks_and_backward_search():
     rng = np.random.default_rng(2)
     text = np.append(rng.integers(1, 9, 700), 0)
