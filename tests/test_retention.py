@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from basketry.catalog.fixtures import Inputs
 from basketry.operators.joins import as_of_history, happens_within
 from basketry.operators.quality import audit_target
 from basketry.plans import retention as r
@@ -108,3 +109,30 @@ def test_audit_rebuilds_labels_without_moving_a_key_per_snapshot(spark, rows):
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     joined = [line for line in plan.splitlines() if "Join LeftOuter" in line]
     assert joined and not any("snapshot_timestamp" in line for line in joined)
+
+
+def test_training_table_is_stored_as_stretches(spark, tmp_path):
+    """The stored table has a row per stretch of cutoffs, and spreading it shuffles nothing."""
+    first = dt.datetime(2020, 1, 1)
+    spark.createDataFrame([(1, 3, first), (2, 3, first + 40 * DAY), (3, 6, first + 200 * DAY), (4, 9, first + 900 * DAY)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").selectExpr(
+        "*", "'F' AS o_orderstatus", "1.0D AS o_totalprice"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    tables = {
+        "customer": "SELECT id AS c_custkey, 1 AS c_nationkey, 'A' AS c_mktsegment FROM range(20)",
+        "nation": "SELECT 1 AS n_nationkey, 'N' AS n_name",
+        "part": "SELECT id AS p_partkey, 'T' AS p_type, 'P' AS p_name, 1 AS p_size FROM range(5)",
+        "lineitem": "SELECT 1 + id % 4 AS l_orderkey, id % 3 AS l_partkey, id % 2 AS l_suppkey, CAST(id AS INT) AS l_linenumber, 2.0D AS l_extendedprice, 0.0D AS l_discount, 0.0D AS l_tax, 'R' AS l_returnflag, TIMESTAMP_NTZ '2020-02-02' AS l_shipdate FROM range(9)",
+        "documents": "SELECT id AS doc_id, 'text' AS text FROM range(3)",
+        "labels": "SELECT id AS doc_id, 1 AS quality, 0 AS toxic FROM range(3)",
+        "embeddings": "SELECT id AS vec_id, 1 AS label FROM range(3)",
+    }
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    inputs = Inputs(spark, str(tmp_path))
+    stored = inputs.stored_training
+    want = sorted(map(tuple, inputs.training.collect()))
+    assert stored.columns == inputs.training.columns and stored.dtypes == inputs.training.dtypes
+    assert sorted(map(tuple, stored.collect())) == want
+    steps = sum(spark.read.parquet(f).count() for f in stored.inputFiles() if "retention-training" in f)
+    assert 0 < steps < len(want) / 2
+    assert "hashpartitioning" not in stored._jdf.queryExecution().executedPlan().toString()
