@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.plans import metrics, models, reviews, voc
+from basketry.plans import logistic, metrics, models, reviews, voc
 from basketry.session import scratch_path
 
 BOTH_WAYS = pytest.mark.parametrize("limit", [10**6, 1], ids=["windowed", "ranged"])
@@ -86,6 +86,60 @@ def test_logistic_survives_a_round_trip(separable, balanced):
     assert first.filter(~F.col("p").between(0, 1)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def stretches(spark):
+    """Rows of customers that differ in their age alone for a while, a constant column, and overlapping classes."""
+    rng, data = random.Random(8), []
+    for who in range(120):
+        a, b = rng.gauss(0, 1), float(rng.randint(0, 5))
+        for age in range(rng.randint(1, 9)):
+            data.append((a, 30.5 * age + rng.random(), b, 0.1, int(rng.random() < 1 / (1 + math.exp(1.5 - a)))))
+    return spark.createDataFrame(data, "a double, age double, b double, flat double, y int").coalesce(3).cache()
+
+
+def test_packed_logistic_is_sparks(stretches, monkeypatch):
+    """Fits with other columns and weights share their passes, and every one is Spark's own."""
+    fits = [(["a", "age", "b", "flat"], True), (["a", "age", "b", "flat"], False), (["b", "a"], True)]
+    want = models.fit_logistics(stretches, fits, "y")
+    alone, passes, evaluate = [], [], logistic.Blocks.evaluate
+    monkeypatch.setattr(logistic.Blocks, "evaluate", lambda self, centre, points: passes.append(len(points)) or evaluate(self, centre, points))
+    for cols, balanced in fits:
+        passes.clear()
+        models.fit_logistic(stretches, cols, "y", balanced, spark_rows=0)
+        alone.append(len(passes))
+    passes.clear()
+    got = models.fit_logistics(stretches, fits, "y", spark_rows=0)
+    assert len(passes) == max(alone) and passes[0] == 3
+    for a, b in zip(want, got, strict=True):
+        assert b.stages[2].coefficients.toArray() == pytest.approx(a.stages[2].coefficients.toArray(), rel=1e-5, abs=1e-9)
+        assert b.stages[2].intercept == pytest.approx(a.stages[2].intercept, rel=1e-5)
+        p, q = (sorted(r[0] for r in models.scored(m, stretches, "p").select("p").collect()) for m in (a, b))
+        assert q == pytest.approx(p, rel=1e-5)
+
+
+def test_packed_logistic_leaves_odd_rows_to_spark(stretches):
+    one_class = models.fit_logistic(stretches.filter("y = 0"), ["a"], "y", spark_rows=0)
+    assert one_class.stages[2].intercept == -math.inf
+    with pytest.raises(Exception, match="null|NaN"):
+        models.fit_logistic(stretches.withColumn("a", F.when(F.col("b") > 0, F.col("a"))), ["a"], "y", spark_rows=0)
+
+
+def test_runs_hold_the_rows():
+    rng = np.random.default_rng(4)
+    common = np.repeat(rng.integers(0, 3, (3, 40)).astype(float), rng.integers(1, 9, 40), axis=1)
+    columns = np.insert(common, 1, rng.random(common.shape[1]), axis=0)
+    labels = (columns[0] > 1).astype(float)
+    runs = logistic.runs_of(columns, labels)
+    assert runs.free == 1 and len(runs.lengths) <= 40 and np.array_equal(runs.values, columns[1])
+    again = np.repeat(runs.common, runs.lengths, axis=1)
+    again[1] = runs.values
+    assert np.array_equal(again, columns) and np.array_equal(np.repeat(runs.labels, runs.lengths), labels)
+    facts = logistic.moments(runs)
+    for y in (0, 1):
+        own = columns[:, labels == y]
+        assert facts[y, 0] == own.shape[1] and facts[y, 1:5] == pytest.approx(own.mean(1)) and facts[y, 5:] == pytest.approx(own.var(1) * own.shape[1])
+
+
 def test_kmeans_cost_is_the_within_cluster_sum(separable):
     model, labelled = models.fit_kmeans(separable, ["a", "b"], 2, seeds=(1, 2))
     scaled = models.standardize(labelled, ["a", "b"])
