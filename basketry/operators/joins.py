@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from basketry.operators.ordering import as_list
 
 
+#: Values that are marked as bits, in `has_repeats_among`.
+LISTED = 1024
+
+
 def left_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
     return left.join(right, as_list(on), "left")
 
@@ -31,6 +35,26 @@ def has_repeats(df: DataFrame, on: str | Sequence[str]) -> bool:
     return not repeated.limit(1).isEmpty()
 
 
+def has_repeats_among(df: DataFrame, key: str, among: str) -> bool:
+    """Does a non-null pair (key, among) occur twice, where `among` has few values?
+
+    A key's values are marked as bits of a few numbers, so a row per key is shuffled and not one per pair. Many values are left to `has_repeats`.
+    """
+    known = df.select(key, among).na.drop()
+    listed = known.agg(F.sort_array(F.collect_set(among)).alias("__listed"))
+    count = known.select(among).distinct().limit(LISTED + 1).count()
+    if count > LISTED:
+        return has_repeats(known, [key, among])
+    at = F.array_position("__listed", F.col(among)) - 1
+    placed = known.crossJoin(F.broadcast(listed)).select(key, at.cast("int").alias("__at"))
+    bit = F.expr("shiftleft(1L, __at % 64)")
+    words = [f"__w{i}" for i in range(-(-count // 64))]
+    marks = [F.bit_or(F.when(F.floor(F.col("__at") / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)]
+    seen = placed.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *marks)
+    marked = reduce(Column.__add__, [F.bit_count(w) for w in words], F.lit(0))
+    return not seen.filter(F.col("__n") > marked).limit(1).isEmpty()
+
+
 def checked_join(
     left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", validate: str = "m:1"
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.values import pct
-from basketry.operators.joins import has_repeats
+from basketry.operators.joins import has_repeats_among
 from basketry.operators.ordering import quantile_columns, with_group_total
 from basketry.operators.topk import sort
 from basketry.plans import boosting, clustering, logistic, metrics
@@ -215,7 +215,7 @@ def score_population(model: PipelineModel, df: DataFrame, features: Sequence[str
         raise ValueError(f"missing columns: {missing}")
     if not df.filter(F.col(KEY).isNull()).limit(1).isEmpty():
         raise ValueError(f"{KEY} contains missing values")
-    if has_repeats(df, [KEY, SNAPSHOT]):
+    if has_repeats_among(df, KEY, SNAPSHOT):
         raise ValueError("a customer occurs twice at one snapshot")
     table = scored(model, df)
     if not table.filter(~F.col(SCORE).between(0, 1)).limit(1).isEmpty():

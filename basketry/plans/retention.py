@@ -11,7 +11,7 @@ from basketry.functions.dates import days_to_four_places, month_end_list, month_
 from basketry.functions.values import count_when, pct, positive_ratio, ratio
 from basketry.operators.aggregates import summary_row
 from basketry.operators.joins import (
-    along_cutoffs, attach_cutoffs, fill_forward_cutoffs, first_cutoff_index, happens_within, has_repeats, run_forward,
+    along_cutoffs, attach_cutoffs, fill_forward_cutoffs, first_cutoff_index, happens_within, has_repeats, has_repeats_among, run_forward,
 )
 
 KEY, SNAPSHOT, TARGET = "customer_unique_id", "snapshot_timestamp", "repeat_purchase_90d"
@@ -436,7 +436,7 @@ def reduced_features(v2: DataFrame, validate: bool = False) -> DataFrame:
         bad = ~F.col(TARGET).isin(0, 1)
         for f in REDUCED_FEATURES:
             bad = bad | F.col(f).isNull() | (F.col(f) < 0)
-        if has_repeats(reduced, [KEY, SNAPSHOT]) or not reduced.filter(bad).limit(1).isEmpty():
+        if has_repeats_among(reduced, KEY, SNAPSHOT) or not reduced.filter(bad).limit(1).isEmpty():
             raise ValueError("reduced features: repeated keys, missing or negative values")
     return reduced
 

@@ -120,3 +120,19 @@ def test_scratch_folder_is_shared_or_refused(spark, master, warehouse, named, wa
     else:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_folder(session)
+
+
+@pytest.mark.parametrize("listed", [1024, 3], ids=["bits", "pairs"])
+def test_repeats_among_few_values(spark, monkeypatch, listed):
+    """Rows of one key at many values are no repeats; an equal pair is, nulls aren't. With bits no pair is shuffled."""
+    monkeypatch.setattr(joins, "LISTED", listed)
+    rows = [(k, d) for k in range(4) for d in range(130)] + [(None, 1), (None, 1), (2, None), (2, None)]
+    df = spark.createDataFrame(rows, "k int, d int").repartition(3)
+    grouped = []
+    once = joins.has_repeats
+    monkeypatch.setattr(joins, "has_repeats", lambda *a: grouped.append(1) or once(*a))
+    assert not joins.has_repeats_among(df, "k", "d")
+    for again in ((0, 0), (3, 63), (1, 64), (2, 129)):
+        assert joins.has_repeats_among(df.union(spark.createDataFrame([again], "k int, d int")), "k", "d")
+    assert not joins.has_repeats_among(df.limit(0), "k", "d")
+    assert len(grouped) == (5 if listed == 3 else 0)
